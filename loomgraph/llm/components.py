@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes may be of any ordered type. Self-loops and repeated edges change nothing; null ends
     are left out; no edges give no rows.
     """
-    edges = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
+    edges = scratch.materialize(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL"), "pairs")
     loops = edges.where("a = b").select(F.col("a").alias("node"))
     now = scratch.materialize(edges.where("a != b"), "edges")
     before = None
