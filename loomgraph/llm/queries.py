@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontaminate, linededup, simhash, tokencount, toxicity
+from loomgraph.llm import bpe, decontaminate, linededup, simhash, tokencount, toxicity
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("LOOMGRAPH_TOKENIZERS", "/opt/tokenizers")
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_check(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -40,6 +44,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": op1_bpe,
         "op3_token_counts": op3_token_counts,
         "op4_decontamination": op4_decontamination,
         "op7_toxicity": op7_toxicity,
