@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, decontaminate, linededup, simhash, tokencount, toxicity
+from loomgraph.llm import bpe, decontaminate, linededup, lm, simhash, tokencount, toxicity
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("LOOMGRAPH_TOKENIZERS", "/opt/tokenizers")
@@ -34,6 +34,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_decontamination": op4_decontamination,
         "op7_toxicity": op7_toxicity,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
