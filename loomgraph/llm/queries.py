@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, decontaminate, linededup, lm, simhash, tokencount, toxicity
+from loomgraph.llm import bpe, decontaminate, huffman, linededup, lm, simhash, tokencount, topk, toxicity, warc
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("LOOMGRAPH_TOKENIZERS", "/opt/tokenizers")
@@ -22,6 +23,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_check(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -30,6 +35,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,8 +63,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_warc": op2_warc,
         "op3_token_counts": op3_token_counts,
         "op4_decontamination": op4_decontamination,
+        "op5_exact_top_k": op5_exact_top_k,
+        "op6_huffman_ids": op6_huffman_ids,
         "op7_toxicity": op7_toxicity,
         "op8_lm_scoring": op8_lm_scoring,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
@@ -58,6 +75,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP2_SQL = "SELECT page_id, url, html FROM (SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id) AS rn FROM pages) WHERE rn = 1"
+
+OP5_SQL = """
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(distance, 6) AS distance FROM (
+  SELECT vec_id, neighbor_id, distance, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank FROM (
+    SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id))
+WHERE rank <= 10
+"""
+
 OP10_SQL = """
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, lines, unnest(range(len(lines) - 2)) AS at FROM d WHERE len(lines) >= 3),
@@ -75,4 +102,4 @@ FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN cnt USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op5_exact_top_k": OP5_SQL, "op10_line_dedup": OP10_SQL}
