@@ -112,6 +112,11 @@ def _start(names: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
 
 
+def _seat(a: np.ndarray, b: np.ndarray, i: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+    """The bit of probe i: a fraction of 32 bits of a segment's bits, of which there are fewer than 2 ** 32."""
+    return ((((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * bits) >> np.uint64(32)).astype(np.int64)
+
+
 def _segment(per: int):
     def run(table: pa.Table) -> pa.Table:
         """One part's rows to its segment of the filter."""
@@ -134,7 +139,7 @@ def _segment(per: int):
         for level in range(1, int(levels.max()) + 1 if len(levels) else 1):
             a, b = _start(names[levels >= level], level)
             for i in range(PROBES):
-                bits[((a + np.uint64(i) * b) % np.uint64(size)).astype(np.int64)] = True
+                bits[_seat(a, b, i, np.uint64(size))] = True
         return pa.table({"part": pa.array([rows[0]["part"]], pa.int32()), "size": [size], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "words": [words], "total": [total]})
 
     return run
@@ -151,6 +156,13 @@ class Filter:
 
     def level(self, names: np.ndarray, found: np.ndarray) -> None:
         """Raise ``found`` to the level of each n-gram that this shard holds."""
+        # Each n-gram is probed once, in the order of the segments.
+        each, back = np.unique(names, return_inverse=True)
+        levels = np.zeros(len(each), np.uint8)
+        self._probe(each, levels)
+        np.maximum(found, levels[back], out=found)
+
+    def _probe(self, names: np.ndarray, found: np.ndarray) -> None:
         part = (names >> np.uint64(NAME - self.parts.bit_length() + 1)).astype(np.int64)
         at = np.flatnonzero((names != 0) & (self.size[part] > 0))
         names, part = names[at], part[at]
@@ -160,7 +172,7 @@ class Filter:
             a, b = _start(names, level)
             bits, base = self.size[part].astype(np.uint64), self.offset[part]
             for i in range(PROBES):
-                seat = ((a + np.uint64(i) * b) % bits).astype(np.int64)
+                seat = _seat(a, b, i, bits)
                 hit = np.flatnonzero((self.data[base + (seat >> 3)] >> (seat & 7).astype(np.uint8)) & 1)
                 if len(hit) < len(alive):
                     alive, a, b, bits, base = alive[hit], a[hit], b[hit], bits[hit], base[hit]
