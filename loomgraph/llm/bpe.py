@@ -35,10 +35,12 @@ from loomgraph.llm.tokencount import load_ranks
 
 LONG = 256
 #: Characters that are encoded at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 #: Tokens that are decoded at once.
-DECODED = 1 << 20
-REMEMBERED = 2_000_000
+DECODED = 1 << 18
+#: New pieces that one query contracts, and pieces that a worker remembers.
+PIECES = 1 << 14
+REMEMBERED = 1_000_000
 
 #: A row has its neighbour's place and token; a round gives each piece's merged row p, the row q that it took in, and q's neighbour.
 ENCODE = """
@@ -99,7 +101,7 @@ class Coder:
 
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.db.register("merge_rows", merge_table(self.ranks))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
@@ -144,7 +146,9 @@ class Coder:
             new = np.flatnonzero(self.hashes[at] != each) if len(self.hashes) else np.arange(len(each))
             if len(new):
                 text = texts.text
-                tokens, sizes = self.contract([text[a:b].encode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+                pieces = [text[a:b].encode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+                done = [self.contract(pieces[i : i + PIECES]) for i in range(0, len(pieces), PIECES)]
+                tokens, sizes = (np.concatenate(x) for x in zip(*done, strict=True))
                 known = np.concatenate([self.hashes, each[new]])
                 order = np.argsort(known, kind="stable")
                 self.hashes = known[order]

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -26,6 +27,8 @@ _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Characters that are segmented at once; one longer text is a batch of its own.
 BATCH_CHARS = 1 << 20
+#: Characters that are hashed at once.
+WINDOW_CHARS = 1 << 17
 
 
 @functools.cache
@@ -46,7 +49,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kinds, lower, alnum
 
 
-@functools.cache
+@functools.lru_cache(2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     size = (1 << bits) + 1
     out = []
@@ -131,10 +134,20 @@ class Batch:
         return starts, ends, self.hashes(starts, ends, codes)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        power, inverse = _powers(max(20, int(len(codes)).bit_length()))
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        """Hashes of the ordered pieces, some of them at a time, so that sums and powers stay small."""
+        out = np.empty(len(starts), np.uint64)
+        i = 0
+        while i < len(starts):
+            base = int(starts[i])
+            j = max(i + 1, int(np.searchsorted(ends, base + WINDOW_CHARS, side="right")))
+            local = codes[base : ends[j - 1]]
+            power, inverse = _powers(max(WINDOW_CHARS.bit_length() - 1, (len(local) - 1).bit_length()))
+            sums = np.zeros(len(local) + 1, np.uint64)
+            np.cumsum((local.astype(np.uint64) + np.uint64(1)) * power[: len(local)], out=sums[1:])
+            first, last = starts[i:j] - base, ends[i:j] - base
+            out[i:j] = mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+            i = j
+        return out
 
     def counts(self, starts: np.ndarray) -> np.ndarray:
         """How many of the ordered starts each text has."""
@@ -149,13 +162,9 @@ def word_hash(word: str) -> int:
 
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int, Batch]]:
     """Cut a column of texts into batches of about ``limit`` characters, none of them empty."""
-    texts = column.to_pylist()
-    start = size = 0
-    for i, text in enumerate(texts):
-        length = len(text or "")
-        if i > start and size + length > limit:
-            yield start, i, Batch(texts[start:i])
-            start, size = i, 0
-        size += length
-    if len(texts) > start:
-        yield start, len(texts), Batch(texts[start:])
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, np.int64)
+    total, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + limit, side="right")))
+        yield start, end, Batch(column.slice(start, end - start).to_pylist())
+        start = end

@@ -88,7 +88,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["word", "t", "c"]
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for a, b, texts in chunks(batch.column(0), 1 << 22):
+        for a, b, texts in chunks(batch.column(0), 1 << 21):
             starts, _, hashes = texts.words()
             owner = np.searchsorted(texts.offsets, starts, side="right") - 1
             order = np.lexsort((owner, hashes))
