@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import bpe, decontaminate, linededup, simhash, toxicity
 from loomgraph.llm.queries import VOCABULARY, table
+from loomgraph.llm.text import small_batches
 from loomgraph.plans import scratch
 
 
@@ -30,10 +31,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return linededup.apply_to(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -42,6 +45,7 @@ def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.encode_and_check(docs, VOCABULARY)
 
 

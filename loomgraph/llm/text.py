@@ -13,6 +13,7 @@ texts have no words, like empty ones; callers tell them apart by ``Batch.null``.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import unicodedata
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -27,6 +29,8 @@ _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Characters that are segmented at once; one longer text is a batch of its own.
 BATCH_CHARS = 1 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT_BATCH, BATCH_BYTES = "67108864b", "8m"
 #: Characters that are hashed at once.
 WINDOW_CHARS = 1 << 17
 
@@ -160,6 +164,22 @@ def word_hash(word: str) -> int:
     return int(mix(np.array([total % (1 << 64)], np.uint64))[0])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of a batch that goes to Python and back, unless the session sets its own bound.
+
+    Batches of 10,000 long texts take, with their copies in either process, a good part of an executor's memory.
+    """
+    if spark.conf.get(BATCH_SETTING, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
+def tidy() -> None:
+    """Give memory that this worker no longer uses back to the system; the next stage runs beside it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int, Batch]]:
     """Cut a column of texts into batches of about ``limit`` characters, none of them empty."""
     sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, np.int64)
@@ -168,3 +188,4 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = BATCH_CHARS) -> Iter
         end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + limit, side="right")))
         yield start, end, Batch(column.slice(start, end - start).to_pylist())
         start = end
+    tidy()
