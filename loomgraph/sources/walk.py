@@ -7,9 +7,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.plans import scratch
+
 #: Extensions of each language, in the order of registration; of two languages with one extension the later wins.
 EXTENSIONS = {
     "rust": ("rs",),
@@ -50,31 +54,72 @@ def depth(path: Column) -> Column:
     return F.size(F.split(path, "/"))
 
 
+def _filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+
+
+def _listed(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = _filesystem(root)
+        for batch in batches:
+            rows = []
+            for folder in batch["path"]:
+                infos = fs.get_file_info(pa.fs.FileSelector(f"{base}/{folder}".rstrip("/"), recursive=False))
+                rows += [(f"{folder}/{i.base_name}".lstrip("/"), i.type == pa.fs.FileType.Directory) for i in infos]
+            yield pd.DataFrame(rows, columns=["path", "is_dir"])
+
+    return run
+
+
+def _contents(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = _filesystem(root)
+
+        def read(path: str) -> str | None:
+            try:
+                with fs.open_input_stream(f"{base}/{path}", compression=None) as stream:
+                    return stream.read().decode("utf-8")
+            except (OSError, UnicodeDecodeError):
+                return None  # reported as a parse error
+
+        for batch in batches:
+            yield batch.assign(content=[read(p) for p in batch["path"]])
+
+    return run
+
+
+def paths(spark: SparkSession, root: str, max_depth: int | None = None) -> DataFrame:
+    """(path) of all files under a root, relative to it, hidden ones included; a round of tasks lists a level of folders."""
+    folders, found, level = spark.createDataFrame([("",)], "path string"), None, 0
+    while True:
+        level += 1
+        listed = scratch.materialize(folders.mapInPandas(_listed(root.rstrip("/")), "path string, is_dir boolean"), "listing")
+        own = listed.where("NOT is_dir").select("path")
+        found = own if found is None else found.unionAll(own)
+        folders = listed.where("is_dir").select("path")
+        if (max_depth is not None and level >= max_depth) or folders.isEmpty():
+            return found
+        folders = folders.repartition(F.col("path"))
+
+
 def walk(spark: SparkSession, root: str, max_depth: int | None = None, known_only: bool = True, ignore: bool = True, contents: bool = True) -> DataFrame:
     """(path, language, content) of the files under a root, paths relative to it; hidden files are included.
 
     ``ignore`` leaves out what the tree's ignore files name; ``known_only`` what no language is registered for. Filters on
-    paths run before contents are read.
+    paths run before contents are read; a file that cannot be read has a null content.
     """
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    uri = F.regexp_replace(F.col("path"), r"^[a-zA-Z0-9+.-]+:/*", "/")
-    plain = re.sub(r"^[a-zA-Z0-9+.-]+:/*", "/", base)
-    named = files.withColumn("path", F.substring(uri, len(plain) + 2, 1 << 30)).withColumn("language", language_of(F.col("path")))
-    rules = None
+    every = paths(spark, base, max_depth)
+    kept = every.withColumn("language", language_of(F.col("path")))
+    if known_only:
+        kept = kept.where("language IS NOT NULL")
     if ignore:
-        texts = named.where(F.element_at(F.split("path", "/"), -1).isin(*IGNORE_FILES)).select("path", F.decode("content", "UTF-8").alias("content"))
+        texts = every.where(F.element_at(F.split("path", "/"), -1).isin(*IGNORE_FILES)).mapInPandas(_contents(base), "path string, content string").where("content IS NOT NULL")
         # Ignore files are few and small: one a directory at most, of each kind.
         rules = [rule for r in texts.orderBy("path").collect() for rule in parse_rules(r.content, r.path.rpartition("/")[0])]
-    kept = named
-    if known_only:
-        kept = kept.where("language IS NOT NULL")
-    if max_depth is not None:
-        kept = kept.where(depth(F.col("path")) <= max_depth)
-    if rules:
-        paths = kept.select("path").mapInPandas(_not_ignored(rules), "path string")
-        kept = kept.join(paths, "path", "left_semi")
-    return kept.select("path", "language", *([F.decode("content", "UTF-8").alias("content")] if contents else []))
+        if rules:
+            kept = kept.mapInPandas(_not_ignored(rules), "path string, language string")
+    return kept.mapInPandas(_contents(base), "path string, language string, content string") if contents else kept
 
 
 def parse_rules(text: str, folder: str) -> list[tuple[str, str, bool, bool]]:
