@@ -89,11 +89,11 @@ WHERE rank <= 10
 
 OP10_SQL = """
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, lines, unnest(range(len(lines) - 2)) AS at FROM d WHERE len(lines) >= 3),
-w AS (SELECT doc_id, at, lines[at + 1] AS a, lines[at + 2] AS b, lines[at + 3] AS c FROM l
-      WHERE greatest(length(trim(lines[at + 1], ' ')), length(trim(lines[at + 2], ' ')), length(trim(lines[at + 3], ' '))) > 0),
-later AS (SELECT doc_id, at FROM (SELECT doc_id, at, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, at) AS rn FROM w) WHERE rn > 1),
-gone AS (SELECT DISTINCT doc_id, at + i AS n FROM later, range(3) AS r(i)),
+l AS (SELECT doc_id, lines, unnest(range(len(lines) - 2)) AS place FROM d WHERE len(lines) >= 3),
+w AS (SELECT doc_id, place, lines[place + 1] AS a, lines[place + 2] AS b, lines[place + 3] AS c FROM l
+      WHERE greatest(length(trim(lines[place + 1], ' ')), length(trim(lines[place + 2], ' ')), length(trim(lines[place + 3], ' '))) > 0),
+later AS (SELECT doc_id, place FROM (SELECT doc_id, place, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, place) AS rn FROM w) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, place + i AS n FROM later, range(3) AS r(i)),
 line AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS n FROM d),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM line ANTI JOIN gone USING (doc_id, n) GROUP BY doc_id),
 cnt AS (SELECT doc_id, count(*) AS k FROM gone GROUP BY doc_id)
