@@ -32,7 +32,9 @@ EXTENSIONS = {
     "scala": ("scala", "sc"),
 }
 LANGUAGE_OF = {e: language for language, extensions in EXTENSIONS.items() for e in extensions}
-IGNORE_FILES = (".gitignore", ".ignore", ".rpgignore")
+IGNORE_FILES = (".gitignore", ".ignore")
+OWN_IGNORE_FILE = ".loomignore"
+EXCLUDES = ".git/info/exclude"
 
 
 def languages() -> list[str]:
@@ -102,10 +104,10 @@ def paths(spark: SparkSession, root: str, max_depth: int | None = None) -> DataF
         folders = folders.repartition(F.col("path"))
 
 
-def walk(spark: SparkSession, root: str, max_depth: int | None = None, known_only: bool = True, ignore: bool = True, contents: bool = True) -> DataFrame:
+def walk(spark: SparkSession, root: str, max_depth: int | None = None, known_only: bool = True, ignore: bool = True, contents: bool = True, ignore_file: str = OWN_IGNORE_FILE) -> DataFrame:
     """(path, language, content) of the files under a root, paths relative to it; hidden files are included.
 
-    ``ignore`` leaves out what the tree's ignore files name; ``known_only`` what no language is registered for. Filters on
+    ``ignore`` leaves out what the tree's ignore files name, ``ignore_file`` among them, and its ``.git/info/exclude``; ``known_only`` what no language is registered for. Filters on
     paths run before contents are read; a file that cannot be read has a null content.
     """
     base = root.rstrip("/")
@@ -114,9 +116,10 @@ def walk(spark: SparkSession, root: str, max_depth: int | None = None, known_onl
     if known_only:
         kept = kept.where("language IS NOT NULL")
     if ignore:
-        texts = every.where(F.element_at(F.split("path", "/"), -1).isin(*IGNORE_FILES)).mapInPandas(_contents(base), "path string, content string").where("content IS NOT NULL")
+        named = every.where(F.element_at(F.split("path", "/"), -1).isin(*IGNORE_FILES, ignore_file))
+        texts = named.unionAll(spark.createDataFrame([(EXCLUDES,)], "path string")).mapInPandas(_contents(base), "path string, content string").where("content IS NOT NULL")
         # Ignore files are few and small: one a directory at most, of each kind.
-        rules = [rule for r in texts.orderBy("path").collect() for rule in parse_rules(r.content, r.path.rpartition("/")[0])]
+        rules = [rule for r in texts.orderBy("path").collect() for rule in parse_rules(r.content, "" if r.path == EXCLUDES else r.path.rpartition("/")[0])]
         if rules:
             kept = kept.mapInPandas(_not_ignored(rules), "path string, language string")
     return kept.mapInPandas(_contents(base), "path string, language string, content string") if contents else kept

@@ -154,13 +154,13 @@ def test_encode(spark):
 
 
 def test_walk(spark, tmp_path):
-    for p, t in {**SOURCES, "README.md": "x", ".hidden.py": "x = 1", "target/gen.rs": "fn x() {}", ".gitignore": "target/\n", "src/Upper.RS": "fn"}.items():
+    for p, t in {**SOURCES, "README.md": "x", ".hidden.py": "x = 1", "target/gen.rs": "fn x() {}", ".gitignore": "target/\n", "src/Upper.RS": "fn", "own/.loomignore": "*.py\n", "own/x.py": "", ".git/info/exclude": "/local.rs\n", "local.rs": ""}.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(t)
     got = {r.path: r for r in walk.walk(spark, str(tmp_path)).collect()}
     assert set(got) == {*SOURCES, ".hidden.py"} and got["src/main.rs"].content == SOURCES["src/main.rs"]
     every = walk.walk(spark, str(tmp_path), known_only=False, ignore=False, contents=False)
-    assert every.count() == len(SOURCES) + 5
+    assert every.count() == len(SOURCES) + 9
     assert walk.walk(spark, str(tmp_path), max_depth=1).count() == 1
 
 
