@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ PROBES = 7
 WEIGHTS = (0.5, 0.3, 0.15, 0.05)
 BROADCAST_BYTES = 256 << 20
 AT_ONCE = 1 << 21
+#: Words whose levels a worker remembers.
+REMEMBERED = 1_000_000
 #: Bits of an n-gram's name.
 NAME = 56
 _SALTS = [np.uint64(0), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)]
@@ -153,15 +155,33 @@ class Filter:
     offset: np.ndarray
     size: np.ndarray
     data: np.ndarray
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    seen_levels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
 
-    def level(self, names: np.ndarray, found: np.ndarray) -> None:
+    def level(self, names: np.ndarray, found: np.ndarray, frequent: bool = False) -> None:
         """Raise ``found`` to the level of each n-gram that this shard holds."""
         # Each n-gram is probed once, in the order of the segments.
         each, back = np.unique(names, return_inverse=True)
         levels = np.zeros(len(each), np.uint8)
-        self._probe(each, levels)
+        self._recall(each, levels) if frequent else self._probe(each, levels)
         np.maximum(found, levels[back], out=found)
 
+    def _recall(self, names: np.ndarray, found: np.ndarray) -> None:
+        """The same for sorted names that come again and again: what was probed is remembered."""
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.seen_levels = names[:0], found[:0]
+        at = np.minimum(np.searchsorted(self.seen, names), max(0, len(self.seen) - 1))
+        known = self.seen[at] == names if len(self.seen) else np.zeros(len(names), bool)
+        found[known] = self.seen_levels[at[known]]
+        new = names[~known]
+        if len(new):
+            levels = np.zeros(len(new), np.uint8)
+            self._probe(new, levels)
+            found[~known] = levels
+            every = np.concatenate([self.seen, new])
+            order = np.argsort(every, kind="stable")
+            self.seen, self.seen_levels = every[order], np.concatenate([self.seen_levels, levels])[order]
+
     def _probe(self, names: np.ndarray, found: np.ndarray) -> None:
         part = (names >> np.uint64(NAME - self.parts.bit_length() + 1)).astype(np.int64)
         at = np.flatnonzero((names != 0) & (self.size[part] > 0))
@@ -242,8 +262,8 @@ def _probe(shard, words: int, total: int, last: bool):
                     # A text's levels lie order by order.
                     lie = np.repeat(edges[:-1] * ORDER, sizes) + np.arange(edges[-1]) - np.repeat(edges[:-1], sizes)
                     levels = [rows[lie + k * np.repeat(sizes, sizes)].copy() for k in range(ORDER)]
-                for x, found in zip(names, levels, strict=True):
-                    filter_.level(x, found)
+                for order, (x, found) in enumerate(zip(names, levels, strict=True)):
+                    filter_.level(x, found, frequent=order == 0)
                 ids = batch.column(0).slice(a, b - a)
                 if not last:
                     data = [None if null else b"".join(x[lo:hi].tobytes() for x in levels) for null, lo, hi in zip(texts.null, edges[:-1], edges[1:], strict=True)]
