@@ -2,10 +2,11 @@ import random
 
 import pytest
 
+from loomgraph import config, service
 from loomgraph.graph import CodeGraph, number
 from loomgraph.operators import diff, enrich, evolve, explore, fetch, search
 from loomgraph.operators.explore import Filter
-from loomgraph.sources import facts, store, walk
+from loomgraph.sources import facts, snapshot, store, walk
 from loomgraph.streaming import watch
 
 NODES = "node_id bigint, node_seq bigint, category string, kind string, language string, name string, path string, description string, features array<string>, feature_path string, semantic_feature string, node_level string"
@@ -226,3 +227,44 @@ def test_summary_of_a_diff(spark):
     after, summary = evolve.process_diff(graph, changes, lambda paths: fresh)
     assert (summary.files_modified, summary.nodes_created, summary.nodes_removed, summary.edges_removed, summary.feature_edges_relinked) == (1, 2, 2, 2, 1)
     assert named(after) == {("belongs_to_feature", "fresh", "n3")}
+
+
+def test_snapshot(spark, tmp_path):
+    files = tree(spark, {k: v for k, v in SOURCES.items() if "broken" not in k})
+    taken = snapshot.take(facts.encode(files).graph, files, "repo")
+    taken.save(f"{tmp_path}/snap")
+    back = snapshot.load(spark, f"{tmp_path}/snap")
+    stats = back.stats().first()
+    assert (stats.files, stats.units) == (3, 6) and rows_of(back.graph) == rows_of(taken.graph)
+    edited = dict(SOURCES) | {"src/main.rs": SOURCES["src/main.rs"] + "\n// only a comment\n", "src/util.rs": SOURCES["src/util.rs"].replace("helper() {}", "helper() { 1 }"), "new.rs": ""}
+    del edited["py/broken.py"], edited["py/app.py"]
+    later = tree(spark, edited)
+    units = snapshot.take(facts.encode(later).graph, later, "repo").units
+    assert {(r.path, r.change) for r in snapshot.changes(back, later, units).collect()} == {("py/app.py", "deleted"), ("new.rs", "added"), ("src/util.rs", "modified")}
+    spark.createDataFrame([(7,)], "version int").write.mode("overwrite").parquet(f"{tmp_path}/snap/meta")
+    with pytest.raises(ValueError):
+        snapshot.load(spark, f"{tmp_path}/snap")
+
+
+def test_service(spark, tmp_path):
+    for p, t in SOURCES.items():
+        (tmp_path / "repo" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "repo" / p).write_text(t)
+    served = service.Service(spark, store.Store(spark, f"file://{tmp_path}/store"))
+    with pytest.raises(LookupError):
+        served.get_components()
+    made = served.encode_repo(str(tmp_path / "repo")).first()
+    assert (made.files_processed, made.files_skipped) == (3, 1)
+    assert [r.name for r in served.search_nodes("HELPER", category="function").collect()] == ["helper"]
+    one = served.search_nodes("main.rs").first().node_id
+    assert {r.edge_type for r in served.get_node_details(one).collect()} >= {"contains", "calls"}
+    assert [r.path for r in served.get_skeleton().collect()] == ["py/app.py", "src/main.rs", "src/util.rs"]
+    assert served.get_graph_summary().first().languages == ["python", "rust", "unknown"]
+    assert service.ignored_filters("typedef", "no_such") == ["edge type no_such"]
+
+
+def test_config(tmp_path):
+    (tmp_path / ".env").write_text("# a\nexport LOOMGRAPH_DATA_DIR='x y'\nLOOMGRAPH_HASH_MODE=other\nLOOMGRAPH_WATCH=true\n")
+    (tmp_path / "sub").mkdir()
+    got = config.from_env({"LOOMGRAPH_WORKSPACE": "w"}, tmp_path / "sub")
+    assert got == config.Config("w", "x y", "mtime", True)
