@@ -36,12 +36,17 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes may be of any ordered type. Self-loops and repeated edges change nothing; null ends
     are left out; no edges give no rows.
     """
+    spark = edges.sparkSession
     edges = scratch.materialize(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL"), "pairs")
     loops = edges.where("a = b").select(F.col("a").alias("node"))
-    now = scratch.materialize(edges.where("a != b"), "edges")
-    before = None
+    now, path, before = edges.where("a != b"), None, None
     for _ in range(MOST_ROUNDS):
-        now = scratch.materialize(_star(_star(now, True), False), "star")
+        old, path = path, scratch.scratch_path(spark, "star")
+        step = _star(_star(now, True), False)
+        step.write.parquet(path)
+        now = spark.read.schema(step.schema).parquet(path)
+        if old:  # a round that has been read is not needed again
+            scratch.remove(spark, old)
         # The edges are the same once their number and the sum of their hashes are.
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == before:
