@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import case
 from loomgraph.operators import diff, evolve, explore, fetch, link, report, search
-from loomgraph.plans import canonical
+from loomgraph.plans import canonical, scratch
 from loomgraph.plans.canonical import EDGES_SQL, FACTS_SQL, NODES_SQL, graph, table
-from loomgraph.schema import category_of_kind, edge_view
-from loomgraph.sources import store
+from loomgraph.schema import EDGES, NODES, category_of_kind, edge_view
+from loomgraph.sources import facts, store
 from loomgraph.sources.parsers import docs, ffi
 from loomgraph.sources.parsers.builtins import BUILTINS, COMMON_METHODS, is_common_method, without_builtins
+from loomgraph.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -401,3 +402,57 @@ for _name, (_detect, _template, _source, _target, _kind, _symbol) in ffi.EXAMPLE
 @register("doc_block_cleanup", "SELECT p_partkey, p_name || chr(10) || 'second' AS doc FROM part")
 def doc_block_cleanup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", docs.clean_block(F.concat(F.lit("/**\n * "), "p_name", F.lit("\n *\n * @param x y\n * second\n */"))).alias("doc"))
+
+
+# Parsers: a program in each language that defines the part's name
+
+
+PROGRAMS = {
+    "rust": ("pub fn %s(a: i32) {}", "fn"),
+    "python": ("import os\ndef %s(x):\n    return x\n", "def"),
+    "go": ("package main\nfunc %s(a int) {\n}", "func"),
+    "c": ("int %s(int a) {\n  return a;\n}", "fn"),
+    "cpp": ("class %s {\n};", "class"),
+    "javascript": ("function %s(a) { return a; }", "function"),
+    "typescript": ("interface %s { a: number }", "interface"),
+    "java": ("public class %s {\n}", "class"),
+    "ruby": ("def %s(a)\n  a\nend", "method"),
+    "lua": ("local function %s(a)\n  return a\nend", "local_function"),
+    "swift": ("func %s(a: Int) {}", "func"),
+    "haskell": ("%s x = x", "function"),
+    "csharp": ("public class %s {\n}", "class"),
+    "scala": ("object %s {\n}", "object"),
+}
+
+
+def _definitions(spark: SparkSession, d: str, language: str, template: str) -> DataFrame:
+    parsed = facts.parse_files(_code(spark, d, template).withColumn("language", F.lit(language)))
+    return facts.explode(parsed, "definitions").select("path", "kind", "name")
+
+
+for _language, (_program, _kind) in PROGRAMS.items():
+    register(f"parse_{_language}", f"SELECT 'p/' || p_partkey AS path, '{_kind}' AS kind, replace(p_name, ' ', '_') AS name FROM part")(lambda spark, d, language=_language, program=_program: _definitions(spark, d, language, program))
+
+
+@register("line_count_units", "SELECT 'doc/' || doc_id AS path, source AS name, 'function' AS unit_type, 1 AS start_line, 2 AS end_line, sha256(array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10))) AS hash FROM documents")
+def line_count_units(spark: SparkSession, d: str) -> DataFrame:
+    definitions = table(spark, d, "documents").selectExpr("concat('doc/', doc_id) AS path", "source AS name", "'fn' AS kind", "named_struct('start_line', 1, 'end_line', 2) AS location")
+    return diff.units(definitions, _old(spark, d))
+
+
+register("node_index", "SELECT e.event_id AS node_id, 'u/' || e.user_id AS path, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS ordinal FROM events e")(
+    lambda spark, d: diff.node_index(table(spark, d, "events").groupBy(F.concat(F.lit("u/"), F.col("user_id").cast("string")).alias("path")).agg(F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("node_id")))).alias("units")))
+)
+register("diagnostics", "SELECT 'p/' || p_partkey || ':' || p_size || ':' || 1 || ': error: ' || p_name AS line FROM part")(lambda spark, d: store.diagnostics(table(spark, d, "part").selectExpr("concat('p/', p_partkey) AS path", "p_size AS line", "1 AS column", "p_name AS error")))
+
+
+@register("stream_update", "SELECT 'n/' || n_nationkey || '.py' AS path, n_nationkey || '.py' AS name, 'file' AS category FROM nation UNION ALL SELECT 'n/' || n_nationkey || '.py', lower(n_name), 'variable' FROM nation")
+def stream_update(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of changed files evolves the graph of an empty store."""
+    folder = scratch.scratch_path(spark, "stream")
+    made = store.Store(spark, f"{folder}/store")
+    made.save_base(store.CodeGraph(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)))
+    changes = table(spark, d, "nation").selectExpr("concat('n/', n_nationkey, '.py') AS path", "concat('def ', lower(n_name), '(): pass') AS content", "false AS deleted", "n_nationkey AS modified")
+    changes.write.json(f"{folder}/changes")
+    watch.watch(spark, f"{folder}/changes", made, f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return made.load().nodes.where("category IN ('file', 'variable')").select("path", "name", "category")
