@@ -17,15 +17,17 @@ columns are not read. A vocabulary of one used identifier gets a code of one bit
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.bpe import Coder, merge_long
+from loomgraph.llm.bpe import Coder
 from loomgraph.llm.tokencount import load_ranks
 from loomgraph.plans import scratch
 
@@ -37,21 +39,24 @@ AT_ONCE = 1 << 20
 RESULT = "block int, n_ids bigint, n_bits bigint, checkpoints array<bigint>, payload binary, round_trip boolean"
 
 
-class _HeapCoder(Coder):
-    """Merges new pieces by the heap; identifiers are those of the DuckDB coder."""
+class _PlainCoder(Coder):
+    """Encodes new pieces one by one; identifiers are those of the DuckDB coder, which its tests hold it to."""
 
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
+        # Pieces are cut before; here each is one.
+        self.encoding = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})
         self.forget()
 
     def contract(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        each = [[r] if (r := self.ranks.get(p)) is not None else merge_long(p, self.ranks) for p in pieces]
-        return np.array([x for ids in each for x in ids], np.int32), np.array([len(ids) for ids in each], np.int64)
+        each = [self.encoding.encode_ordinary(p.decode()) for p in pieces]
+        sizes = np.array([len(ids) for ids in each], np.int64)
+        return np.fromiter(itertools.chain.from_iterable(each), np.int32, int(sizes.sum())), sizes
 
 
 @functools.cache
-def _coder(path: str) -> _HeapCoder:
-    return _HeapCoder(path)
+def _coder(path: str) -> _PlainCoder:
+    return _PlainCoder(path)
 
 
 def token_table(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
