@@ -5,8 +5,8 @@ hashes. Each batch sorts its hashes and sends them as compressed differences to
 highest bits name; a part sums its counts. Every n-gram of the corpus is counted.
 
 Filter. A count c has the level 1 + floor(log2 c), and its n-gram is inserted together with each of the levels 1
-to that. Words are all held, longer n-grams from ``LEAST_COUNT`` occurrences on, as is usual for
-such models. A part builds its own segment, of ``BITS`` bits an insertion, so that no two tasks write to one.
+to that. N-grams of every order are held from ``LEAST_COUNT`` occurrences on, which is 1: all of them.
+A part builds its own segment, of ``BITS`` bits an insertion, so that no two tasks write to one.
 
 Scoring. Levels are probed from 1 until one is missing; a level stands for the middle of its
 counts. The probability of a word is interpolated: ``WEIGHTS`` of the relative frequencies by
@@ -37,7 +37,7 @@ from loomgraph.llm.text import Batch, chunks, mix
 from loomgraph.plans import scratch
 
 ORDER = 3
-LEAST_COUNT = 2
+LEAST_COUNT = 1
 BITS = 10
 PROBES = 7
 WEIGHTS = (0.5, 0.3, 0.15, 0.05)

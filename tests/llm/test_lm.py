@@ -54,6 +54,14 @@ def test_against_brute_force(spark, monkeypatch, limit):
         assert got[i].perplexity == pytest.approx(2 ** (-want / len(texts[i].split())))
 
 
+def test_ngrams_that_occur_once_are_held(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma", 1, 2), (2, "delta", 1, 2)], SCHEMA)
+    got = {r.doc_id: r.log2_prob for r in lm.score(lm.train(docs, bits=200), docs).collect()}
+    one, two, three, rest = lm.WEIGHTS[2] / 4, lm.WEIGHTS[1], lm.WEIGHTS[0], lm.WEIGHTS[3] / 5
+    assert got[1] == pytest.approx(math.log2(rest + one) + math.log2(rest + one + two) + math.log2(rest + one + two + three))
+    assert got[2] == pytest.approx(math.log2(rest + one))
+
+
 def test_false_positives_are_rare(spark):
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(corpus(300, 2))], SCHEMA)
     model = lm.train(docs)
