@@ -5,8 +5,8 @@ the shared folder and rereads as the next stage's docs. All but the last keep th
 ``documents``, whatever they are besides ``doc_id`` and ``text``:
 
 1. toxicity: documents with a significant toxic passage go; the model is fitted on ``labels``;
-2. line dedup: later occurrences of three-line windows are cut from the texts, and documents of which
-   nothing is left go;
+2. line dedup: later occurrences of three-line windows, and of windows of sentences within and across lines,
+   are cut from the texts, and documents of which nothing is left go;
 3. SimHash near-dedup: of each group of near copies the document of the least id stays;
 4. decontamination: documents in which a test item of ``benchmark`` is found go;
 5. BPE: each document's token identifiers, which are decoded again to see that they give the text.

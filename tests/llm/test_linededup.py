@@ -43,3 +43,18 @@ def test_odd_rows(spark):
     assert linededup.dedup_lines(frame).count() == len(rows)
     assert sorted(str(r.doc_id) for r in linededup.apply_to(frame).collect()) == ["1", "2", "4", "5", "7", "None"]
     assert linededup.dedup_lines(frame.limit(0)).count() == 0 and linededup.apply_to(frame.limit(0)).count() == 0
+
+
+def test_passages_on_one_line_are_cut(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage = " ".join(prose(12) + "." for _ in range(5))
+    bare = prose(300)  # no sentence end
+    rows = [(1, f"{prose(10)}. {passage} {prose(10)}"), (2, f"{prose(5)}! {passage} {prose(7)}"), (3, f"{passage}"), (4, prose(100) + " " + bare), (5, prose(90) + " " + bare), (6, "Yes. No. Yes. No. Yes. No."), (7, "Yes. No. Yes. No. Yes. No."), (8, f"{passage}  {prose(3)}\nlast")]
+    frame = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA)
+    got = {r.doc_id: r.text for r in linededup.apply_to(frame).collect()}
+    texts = dict(rows)
+    assert {i: got[i] for i in (1, 4, 6, 7)} == {i: texts[i] for i in (1, 4, 6, 7)}
+    assert got[2] == texts[2].replace(" " + passage, "") and 3 not in got and got[8] == texts[8].replace(passage, "").lstrip()
+    assert len(got[5].split()) < 190
