@@ -3,16 +3,16 @@
 A text's fingerprint has 128 bits: bit i is the sign of the sum, over its distinct lower-cased
 words, of bit i of their hashes. A text without words has its characters for words.
 The fingerprint is cut into ``SEGMENTS`` segments, each of which is a key of a hash table. A
-fingerprint is looked up under all keys within one bit of its own segment (the small Hamming
-ball), and what the tables return is verified by the complete distance. Of the two fingerprints
-whose segments differ in one bit, one has that bit set; only it flips the bit, so that every
-such pair is met once. Rows alike in fingerprint are one node from the start.
+fingerprint stands under its own segment and under all keys within one bit of it (the small Hamming
+ball), so that segments within two bits of each other meet under a key; what meets is verified by the
+complete distance. Segments that differ in one bit meet where the one that has the bit set flips it, and
+those that differ in two where the one that has the higher bit set flips that and the other the lower one:
+every such pair is met once a segment. Rows alike in fingerprint are one node from the start.
 
-With six segments and balls of radius 1 all pairs within 11 bits are found, as one segment then
-has at most one differing bit. Of those within ``RADIUS`` bits (16) a part needs more; tests hold
-recall against brute force above 0.9. Groups are the connected components of verified pairs.
+With six segments that meet within two bits all pairs within 17 bits are found, as one segment then has at
+most two differing bits, and so all within ``RADIUS`` bits (16). Groups are the connected components of verified pairs.
 
-Large tables: fingerprints alone move, 16 bytes in each of about 70 rows a document, never texts;
+Large tables: fingerprints alone move, 16 bytes in each of about 130 rows a document, never texts;
 pairs of one bucket are verified in blocks and only as many of them returned as connect it, so a
 bucket of k texts yields fewer than k pairs.
 
@@ -100,29 +100,30 @@ def row_hashes(id_col: str, text_col: str) -> tuple:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Table rows and probes of fingerprints: (key, f0, f1, probe)."""
-    names = ["key", "f0", "f1", "probe"]
+    """Fingerprints under the keys of their balls: (key, f0, f1, flip), flip the bit that differs or -1."""
+    names = ["key", "f0", "f1", "flip"]
     for batch in batches:
         for at in range(0, batch.num_rows, 8192):
             part = batch.slice(at, 8192)
             words = [part.column(i).to_numpy().view(np.uint64) for i in range(2)]
             rows = np.arange(len(words[0]))
-            keys, whose, probe = [], [], []
+            keys, whose, flips = [], [], []
             for s, (word, low, bits) in enumerate(CUTS):
                 value = (words[word] >> np.uint64(low)) & np.uint64((1 << bits) - 1)
                 tag = np.uint64(s << 32)
                 keys.append(value | tag)
                 whose.append(rows)
-                probe.append(np.zeros(len(rows), bool))
+                flips.append(np.full(len(rows), -1, np.int8))
                 for bit in range(bits):
-                    on = np.flatnonzero((value >> np.uint64(bit)) & np.uint64(1))
-                    keys.append((value[on] ^ np.uint64(1 << bit)) | tag)
-                    whose.append(on)
-                    probe.append(np.ones(len(on), bool))
-            key, who, ask = np.concatenate(keys), np.concatenate(whose), np.concatenate(probe)
+                    # An unset bit is flipped only to be met by a higher one.
+                    own = rows if bit < bits - 1 else np.flatnonzero((value >> np.uint64(bit)) & np.uint64(1))
+                    keys.append((value[own] ^ np.uint64(1 << bit)) | tag)
+                    whose.append(own)
+                    flips.append(np.full(len(own), bit, np.int8))
+            key, who, flip = np.concatenate(keys), np.concatenate(whose), np.concatenate(flips)
             for i in range(0, len(key), 1 << 17):
                 cut = slice(i, i + (1 << 17))
-                yield pa.record_batch([pa.array(key[cut].view(np.int64)), pa.array(words[0][who[cut]].view(np.int64)), pa.array(words[1][who[cut]].view(np.int64)), pa.array(ask[cut])], names=names)
+                yield pa.record_batch([pa.array(key[cut].view(np.int64)), pa.array(words[0][who[cut]].view(np.int64)), pa.array(words[1][who[cut]].view(np.int64)), pa.array(flip[cut])], names=names)
 
 
 def _distance(f0: np.ndarray, f1: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,18 +148,20 @@ def _forest(a: np.ndarray, b: np.ndarray, root: dict[int, int]) -> np.ndarray:
     return keep
 
 
-def _verify(key: np.ndarray, f0: np.ndarray, f1: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _verify(key: np.ndarray, f0: np.ndarray, f1: np.ndarray, flip: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of pairs within the radius, of one key each, at most a spanning forest of a large bucket."""
-    order = np.lexsort((probe, key))
-    key, probe = key[order], probe[order]
+    order = np.lexsort((flip, key))
+    key, flip = key[order], flip[order].astype(np.int64)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     ends = np.r_[first[1:], len(key)]
-    tables = np.add.reduceat((~probe).astype(np.int64), first)
     rows = np.arange(len(key))
+    new = np.r_[True, (key[1:] != key[:-1]) | (flip[1:] != flip[:-1])]
+    same = np.maximum.accumulate(np.where(new, rows, 0))
     bucket = np.repeat(np.arange(len(first)), ends - first)
-    # Row i meets the table rows of its bucket: a probe all of them, a table row those after it.
-    start = np.where(probe, first[bucket], rows + 1)
-    count = np.maximum(0, first[bucket] + tables[bucket] - start)
+    # Row i meets, if it had its flipped bit set, the rows of its bucket with lower flips; of the unflipped those before it.
+    on = ((key >> np.maximum(flip, 0)) & 1) == 0
+    start = first[bucket]
+    count = np.where(flip < 0, rows, np.where(on, same, start)) - start
     busy = np.flatnonzero(count)
     count, start = count[busy], start[busy]
     total = np.cumsum(count)
@@ -187,8 +190,8 @@ def _match(radius: int):
         names = ["a0", "a1", "b0", "b1"]
 
         def edges(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-            key, f0, f1, probe = (np.concatenate(x) for x in zip(*held, strict=True))
-            a, b = _verify(key, f0, f1, probe, radius)
+            key, f0, f1, flip = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = _verify(key, f0, f1, flip, radius)
             return pa.record_batch([pa.array(x) for x in (f0[a], f1[a], f0[b], f1[b])], names=names)
 
         held: list[list[np.ndarray]] = []
@@ -212,7 +215,7 @@ def _match(radius: int):
 
 def pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Verified pairs (a0, a1, b0, b1) of distinct fingerprints (f0, f1) that connect what is near."""
-    keyed = prints.mapInArrow(_keys, "key bigint, f0 bigint, f1 bigint, probe boolean")
+    keyed = prints.mapInArrow(_keys, "key bigint, f0 bigint, f1 bigint, flip tinyint")
     sorted_ = keyed.repartition("key").sortWithinPartitions("key")
     return sorted_.mapInArrow(_match(radius), "a0 bigint, a1 bigint, b0 bigint, b1 bigint")
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import simhash
@@ -69,6 +70,23 @@ def test_pairs_within_eleven_bits_are_all_found():
         assert len(a)
 
 
+@pytest.mark.parametrize("distance", range(12, 18))
+def test_recall_by_distance(distance):
+    rng = np.random.default_rng(distance)
+    found = 0
+    for _ in range(300):
+        one = rng.integers(0, 1 << 64, 2, dtype=np.uint64)
+        other = one.copy()
+        for bit in rng.choice(128, distance, replace=False):
+            other[bit // 64] ^= np.uint64(1 << (int(bit) % 64))
+        both = np.array([one, other]).view(np.int64)
+        rows = next(simhash._keys([pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["f0", "f1"])]))
+        cols = [rows.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        found += len(simhash._verify(*cols, distance)[0]) > 0
+        assert not len(simhash._verify(*cols, distance - 1)[0])
+    assert found / 300 == 1, f"recall {found / 300:.2f} at {distance} bits"
+
+
 def test_odd_rows(spark):
     long = "word " * 200_000 + "end"
     rows = [(1, None, "a", "b"), (2, "", "a", "b"), (3, "", "a", "b"), (None, "alpha beta gamma delta", "a", "b"), (5, "alpha beta gamma delta", "a", "b"), (5, "alpha beta gamma delta", "c", "d"), (6, long, "a", "b"), (7, "!!! ???", "a", "b"), (8, "!!! ???", "a", "b"), (1, None, "a", "b")]
