@@ -116,8 +116,18 @@ class Coder:
         """(tokens, how many each piece has)."""
         sizes = np.array([len(p) for p in pieces], np.int64)
         short = np.flatnonzero(sizes <= LONG)
+        piece, token = self._contract_short(pieces, short, sizes[short]) if len(short) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        if len(short) < len(pieces):
+            long = {i: merge_long(pieces[i], self.ranks) for i in np.flatnonzero(sizes > LONG).tolist()}
+            piece = np.concatenate([piece, np.repeat(list(long), [len(v) for v in long.values()])])
+            token = np.concatenate([token, *[np.array(v, np.int32) for v in long.values()]])
+            order = np.argsort(piece, kind="stable")
+            piece, token = piece[order], token[order]
+        return token, np.bincount(piece, minlength=len(pieces))
+
+    def _contract_short(self, pieces: list[bytes], short: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, token) rows of the pieces numbered ``short``, of ``n`` bytes each."""
         data = np.frombuffer(b"".join([pieces[i] for i in short]), np.uint8)
-        n = sizes[short]
         pos = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
         tokens = self.byte[data]
         after = np.r_[tokens[1:], -1].astype(np.int32)
@@ -125,14 +135,7 @@ class Coder:
         self.db.register("symbols", pa.table({"piece": np.repeat(short, n).astype(np.int32), "pos": pos, "token": tokens, "next_pos": pos + 1, "next_token": after}))
         rows = self.db.sql(ENCODE).to_arrow_table()
         self.db.unregister("symbols")
-        piece, token = (rows.column(c).to_numpy() for c in ("piece", "token"))
-        if len(short) < len(pieces):
-            long = {i: merge_long(pieces[i], self.ranks) for i in np.flatnonzero(sizes > LONG).tolist()}
-            piece = np.concatenate([piece, np.repeat(list(long), [len(v) for v in long.values()])])
-            token = np.concatenate([token, *[np.array(v, np.int32) for v in long.values()]])
-            order = np.argsort(piece, kind="stable")
-            piece, token = piece[order], token[order]
-        return token, np.bincount(piece, minlength=len(pieces))
+        return rows.column("piece").to_numpy(), rows.column("token").to_numpy()
 
     def encode(self, column: pa.Array) -> pa.Array:
         """Lists of tokens of a column of texts."""

@@ -38,8 +38,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def count_piece(piece: bytes, ranks: dict[bytes, int]) -> int:
     """Tokens of one piece: bytes less merges."""
     n = len(piece)
-    if n < 2 or piece in ranks:
-        return min(n, 1)
     ends = list(range(1, n + 1))  # ends[i]: end of the symbol that starts at i; 0 once merged away
     before = list(range(-1, n - 1))
     heap = []

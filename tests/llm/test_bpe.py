@@ -5,7 +5,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgraph.llm import bpe
+from loomgraph.llm import bpe, huffman
 from loomgraph.llm.queries import TOKENIZERS, VOCABULARY
 from loomgraph.llm.tokencount import count_piece, load_ranks, token_counts
 
@@ -61,3 +61,30 @@ def test_odd_rows(spark, public):
     assert bpe.encode_and_check(docs.limit(0), VOCABULARY).count() == 0
     assert token_counts(docs.limit(0), VOCABULARY).count() == 0
     assert TOKENIZERS in VOCABULARY
+
+
+def twins(n):
+    """Two words of n letters, each other's complement, that a polynomial hash modulo a power of two confuses."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("text", ["a" * 300, "漢" * 100, "今天的天气很好" * 50, "x" * 257])
+def test_one_long_piece_alone(spark, public, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    (row,) = bpe.encode_and_check(docs, VOCABULARY).collect()
+    assert row.token_ids == public.encode_ordinary(text) and row.round_trip
+    assert token_counts(docs, VOCABULARY).first().n_tokens == len(row.token_ids)
+    assert huffman.encode_documents(docs, VOCABULARY).first().round_trip
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_a_regular_build_stay_apart(spark, public, n):
+    docs = spark.createDataFrame(list(enumerate(["x y", *twins(n), " ".join(twins(n))])), "doc_id bigint, text string").coalesce(1)
+    want = [public.encode_ordinary(r.text) for r in docs.collect()]
+    rows = sorted(bpe.encode_and_check(docs, VOCABULARY).collect())
+    assert [r.token_ids for r in rows] == want and all(r.round_trip for r in rows)
+    assert [r.n_tokens for r in sorted(token_counts(docs, VOCABULARY).collect())] == [len(x) for x in want]
+    ids, _ = huffman.token_table(docs, VOCABULARY)
+    assert [len(r.ids) // 2 for r in sorted(ids.collect())] == [len(x) for x in want]
+    assert [list(memoryview(r.ids).cast("H")) for r in sorted(ids.collect())] == want
