@@ -69,7 +69,7 @@ def twins(n):
     return one, one.translate(str.maketrans("ab", "ba"))
 
 
-@pytest.mark.parametrize("text", ["a" * 300, "漢" * 100, "今天的天气很好" * 50, "x" * 257])
+@pytest.mark.parametrize("text", ["a" * 300, "漢" * 100, "今天的天气很好" * 50, "x" * 257, "漢" * 3000, "ab" * 1024])
 def test_one_long_piece_alone(spark, public, text):
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     (row,) = bpe.encode_and_check(docs, VOCABULARY).collect()
