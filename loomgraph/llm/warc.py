@@ -10,18 +10,21 @@ record; the index is a table of its own, and records are selected by it alone.
 Reading. The selected records are sorted by file and offset; those less than ``GAP_BYTES`` apart,
 within one stretch of ``RANGE_BYTES``, are read by one byte-range request.
 
-Files may be on any file system that pyarrow knows by its URI. Plain and gzipped files are read.
-
-Defined results: a null payload is a record of type metadata without content and is read as null, an
-empty one as empty; null ids and urls have no header and are read as null; rows alike are records
-each; an empty table gives no files and empty results; line breaks in a url are written as spaces; other
-columns are not written. A file that ends within a record fails the job.
+Files may be on any file system that pyarrow knows by its URI. Plain and gzipped files are read. Scans and reads
+are spread over a number of tasks that follows the bytes of the files and the number of ranges.
+
+Defined results: a null payload is a record of type metadata without content and with a header of its own that has it read
+as null, an empty one as empty; null ids and urls have no header and are read as null; rows alike are records
+each; an empty table gives no files and empty results; line breaks in a url are written as spaces, other spaces stay; other
+columns are not written. Of the records of one digest that of the least id is the first, then of the least url (nulls last). A
+file that ends within a record fails the job.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,6 +41,11 @@ GAP_BYTES = 64 << 10
 RANGE_BYTES = 8 << 20
 DATE = "1970-01-01T00:00:00Z"
 ID_HEADER = "X-Page-Id"
+URL_HEADER = "WARC-Target-URI"
+NULL_HEADER = "X-Page-Null"
+#: Bytes of files that a task scans, and ranges that a task reads, about.
+SCAN_BYTES = 128 << 20
+TASK_RANGES = 16
 _CHUNK = 1 << 16
 
 
@@ -51,10 +59,12 @@ def record(id_: int | None, url: str | None, payload: bytes | None, date: str =
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{id_} {url} {digest(body)}")
     lines = ["WARC/1.0", f"WARC-Type: {'metadata' if payload is None else 'resource'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}", "Content-Type: text/html; charset=utf-8"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("\r", " ").replace("\n", " "))
+        lines.append(f"{URL_HEADER}: " + url.replace("\r", " ").replace("\n", " "))
     if id_ is not None:
         lines.append(f"{ID_HEADER}: {id_}")
-    if payload is not None:
+    if payload is None:
+        lines.append(f"{NULL_HEADER}: true")
+    else:
         lines.append(f"WARC-Payload-Digest: {digest(body)}")
     lines.append(f"Content-Length: {len(body)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -64,7 +74,8 @@ def _header(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    return {k.lower(): v.strip(" ") for k, _, v in (x.partition(":") for x in lines[1:] if x)}
+    fields = {k.lower(): v.removeprefix(" ") for k, _, v in (x.partition(":") for x in lines[1:] if x)}
+    return {k: v if k == URL_HEADER.lower() else v.strip(" ") for k, v in fields.items()}
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -161,6 +172,11 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return scratch.materialize(base.mapInArrow(run, "file string, records bigint, bytes bigint"), "files")
 
 
+def _tasks(spark: SparkSession, count: int, least: float) -> int:
+    """Tasks for ``count`` equal pieces of work: ``least`` or, of fewer, enough for all cores, but none without work."""
+    return max(1, min(count, max(math.ceil(least), 4 * spark.sparkContext.defaultParallelism)))
+
+
 def index(files: DataFrame) -> DataFrame:
     """(file, offset, length, id, url, digest) of every record of the files, written to the shared folder."""
 
@@ -169,18 +185,19 @@ def index(files: DataFrame) -> DataFrame:
             for name in batch.column(0).to_pylist():
                 fs, path = _filesystem(name)
                 with fs.open_input_stream(path, compression=None) as stream:
-                    rows = [(name, at, n, int(h[ID_HEADER.lower()]) if ID_HEADER.lower() in h else None, h.get("warc-target-uri"), h.get("warc-payload-digest")) for at, n, h in scan(stream)]
+                    rows = [(name, at, n, int(h[ID_HEADER.lower()]) if ID_HEADER.lower() in h else None, h.get(URL_HEADER.lower()), h.get("warc-payload-digest")) for at, n, h in scan(stream)]
                 columns = zip(*rows, strict=True) if rows else [[]] * 6
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "offset", "length", "id", "url", "digest"])
 
-    spread = files.select("file").repartition("file")
+    count, size = files.agg(F.count("*"), F.sum("bytes")).first()
+    spread = files.select("file").repartition(_tasks(files.sparkSession, count, (size or 0) / SCAN_BYTES))
     return scratch.materialize(spread.mapInArrow(run, "file string, offset bigint, length bigint, id bigint, url string, digest string"), "index")
 
 
 def first_of_digest(index_: DataFrame) -> DataFrame:
-    """Of the records of one digest, that of the least id; records without a digest are alike."""
-    place = F.struct(F.col("id").isNull(), "id", "file", "offset", "length")
+    """Of the records of one digest, that of the least id and url; records without a digest are alike."""
+    place = F.struct(F.col("id").isNull(), "id", F.col("url").isNull(), "url", "file", "offset", "length")
     return index_.groupBy("digest").agg(F.min(place).alias("p")).select("p.file", "p.offset", "p.length")
 
 
@@ -209,10 +226,12 @@ def read(selected: DataFrame) -> DataFrame:
                 for r in records:
                     at = r["offset"] - start
                     h, body = parse(data[at : at + r["length"]])
-                    rows.append((int(h[ID_HEADER.lower()]) if ID_HEADER.lower() in h else None, h.get("warc-target-uri"), h.get("warc-payload-digest"), None if h["warc-type"] == "metadata" else body.decode("utf-8", "replace")))
+                    rows.append((int(h[ID_HEADER.lower()]) if ID_HEADER.lower() in h else None, h.get(URL_HEADER.lower()), h.get("warc-payload-digest"), None if NULL_HEADER.lower() in h else body.decode("utf-8", "replace")))
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "url", "digest", "html"])
 
-    return ranges(selected).repartition("file", "start").mapInArrow(run, "id bigint, url string, digest string, html string")
+    spans = scratch.materialize(ranges(selected), "ranges")
+    count = spans.count()
+    return spans.repartition(_tasks(spans.sparkSession, count, count / TASK_RANGES)).mapInArrow(run, "id bigint, url string, digest string, html string")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -57,6 +57,22 @@ def test_odd_rows(spark):
     assert [tuple(r) for r in alone] == [rows[2]]
 
 
+def test_ties_spaces_and_foreign_metadata(spark):
+    rows = [(1, "http://b ", "<p>x"), (1, " http://a", "<p>x"), (1, None, "<p>x"), (2, "  http://c  ", "<p>z"), (3, " ", None)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    for n in (1, 3):
+        got = sorted(((r.page_id, r.url, r.html) for r in warc.round_trip(spark, docs.repartition(n)).collect()), key=str)
+        assert got == [(1, " http://a", "<p>x"), (2, "  http://c  ", "<p>z"), (3, " ", None)]
+    foreign = b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length:  3 \r\n\r\nabc\r\n\r\n"
+    header, body = warc.parse(foreign)
+    assert body == b"abc" and warc.NULL_HEADER.lower() not in header
+
+
+def test_tasks_follow_the_work(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert warc._tasks(spark, 0, 0) == 1 and warc._tasks(spark, 10**6, 0.5) == 4 * cores and warc._tasks(spark, 10**6, 5000.5) == 5001
+
+
 def test_broken_files():
     data = warc.record(1, "u", b"abc") + warc.record(2, "v", b"def")
     assert [n for _, n, _ in warc.scan(io.BytesIO(data))] == [len(warc.record(1, "u", b"abc")), len(warc.record(2, "v", b"def"))]
