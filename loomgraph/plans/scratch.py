@@ -1,4 +1,8 @@
-"""Tables that an operator writes on its way, in the folder that all executors share."""
+"""Tables that an operator writes on its way, in the folder that all executors share.
+
+An operator drops what its result no longer reads. What a lazy result does read stays, and goes by ``clear`` once the
+results are written.
+"""
 
 from __future__ import annotations
 
@@ -22,9 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that were named and not yet removed.
+_standing: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
+    _standing.add(folder)
+    return f"{folder}/{name}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -32,11 +42,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that ``materialize`` or ``scratch_path`` named."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    """Delete a table that ``materialize`` or ``scratch_path`` named, with the folder that was made for it."""
+    folder = path.rpartition("/")[0]
+    _standing.discard(folder)
+    _delete(spark, folder if "/loomgraph-" in folder else path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._scratch_path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all tables that still stand; how many. No result that was not written may be read afterwards."""
+    count = len(_standing)
+    while _standing:
+        _delete(spark, _standing.pop())
+    return count
