@@ -38,7 +38,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = topk.top_k(table(spark, sf_dir, "embeddings"))
+    # The stated queries: every row whose id is divisible by 100, against all rows.
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), asks=F.col("vec_id") % 100 == 0)
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -83,7 +84,7 @@ OP5_SQL = """
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(distance, 6) AS distance FROM (
   SELECT vec_id, neighbor_id, distance, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank FROM (
     SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance
-    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id))
+    FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id))
 WHERE rank <= 10
 """
 

@@ -1,22 +1,24 @@
-"""Exact top-k neighbours of every vector by a pivot-distance index.
+"""Exact top-k neighbours by a pivot-distance index.
 
 Index. About sqrt(n) vectors, the first by hash, are pivots; each vector is keyed by its nearest pivot and
-its distance from it, and the index is written to the shared folder, sorted by that key. A cell, the vectors of one
-pivot, is cut into annuli of ``ANNULUS`` vectors by distance.
+its distance from it. The index, in the shared folder, is sorted by that key and cut into groups of about ``GROUP_BYTES``,
+so that a cell, the vectors of one pivot, may lie in several groups, however many of them are alike. Within a group a cell is
+cut into annuli of at most ``ANNULUS`` vectors by distance.
 
-Search. Every vector is a query. Its cell gives a first bound of its k-th distance. By the triangle inequality a
-point x of pivot p is at least \\|d(q, p) - d(x, p)\\| from q, so annuli are visited from the
-nearest bound outwards, each query's bound shrinks with what it finds, and an annulus is passed over by all queries
-whose bound it lies beyond. Distances are Euclidean, in double precision; what comes near the bound is
-computed again by differences.
+Search. By the triangle inequality a point x of pivot p is at least \\|d(q, p) - d(x, p)\\| from a query q. The nearest
+pivots give a first bound of its k-th distance, its own group a better one; then it goes only to the groups that
+this bound reaches. Inside a group each query expands from its own nearest annulus outwards, in waves of 1, 1, 2, 4 and so
+on, its bound shrinks with what it finds, and it stops where the next annulus lies beyond. A task joins the points
+of one group and at most ``BLOCK`` queries; points are sent once for each such block, and not at all where no query comes.
 
-Cells are packed into groups of about ``GROUP_BYTES``, queries into blocks; a task joins one group and one block,
-and a query goes only to groups that its bound reaches.
+Distances are Euclidean, in double precision, by differences; dot products, with a bound of their rounding, only choose what
+is computed so. Differences are scaled by powers of two, so large and small numbers neither overflow nor vanish.
 
 Defined results: vectors that are null, hold null, NaN or infinite numbers, or have another length than most (of
 two lengths as frequent the greater) are neither queries nor results; a row is no neighbour of itself, but of a row
 alike at distance 0; equal distances rank by id, a null id last; with fewer than k others all are returned; null
-ids are reported as null; an empty table gives an empty result; other columns are not read.
+ids are reported as null; an empty table gives an empty result; other columns are not read. A distance above the
+largest double is infinite.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.plans import scratch
@@ -34,184 +36,257 @@ from loomgraph.plans import scratch
 K = 10
 ANNULUS = 256
 GROUP_BYTES = 64 << 20
-#: Rounding of a distance by dot products of vectors of norm 1.
-SLACK = 1e-6
+#: Queries that one task searches a group for.
+BLOCK = 8192
+#: Distances of a block of rows from all pivots that are held at once.
+AT_ONCE = 1 << 22
+#: Pairs whose exact distances wait to be computed.
+WAITING = 1 << 20
+POINT = "row bigint, id bigint, vec array<double>, asks boolean, pivot int, dist double"
+QUERY = "row bigint, id bigint, vec array<double>, bound double, grp int"
+FOUND = "row bigint, id bigint, other bigint, neighbor bigint, distance double"
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64) if len(column) else np.zeros((0, dim))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of all rows of a from all rows of b, by dot products."""
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-    return np.sqrt(np.maximum(square, 0))
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows of a from the same rows of b."""
+    gap = a - b
+    power = np.frexp(np.abs(gap).max(1))[1]
+    return np.ldexp(np.sqrt((np.ldexp(gap, -power[:, None]) ** 2).sum(1)), power)
 
 
-def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int, int]:
-    """(id, vec) of comparable rows, their dimension and number."""
-    base = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
-    base = base.where("vec IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, x -> x IS NULL OR isnan(x) OR abs(x) > 1e300)")
-    sizes = base.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    return (base.where(F.size("vec") == sizes["dim"]), sizes["dim"], sizes["count"]) if sizes else (base, 0, 0)
+class _Scaled:
+    """Vectors times a power of two, so that no number is over 1, with their squared norms."""
 
+    def __init__(self, vec: np.ndarray, unit: float):
+        self.vec = vec * unit
+        self.norm = (self.vec * self.vec).sum(1)
 
-def _key(pivots: np.ndarray):
+    def __getitem__(self, rows) -> _Scaled:
+        out = object.__new__(_Scaled)
+        out.vec, out.norm = self.vec[rows], self.norm[rows]
+        return out
+
+
+def _squares(a: _Scaled, b: _Scaled) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all rows of a from all rows of b by dot products, and how far they may be off."""
+    norms = a.norm[:, None] + b.norm[None, :]
+    off = norms * (4 * (a.vec.shape[1] + 8) * np.finfo(float).eps)
+    return np.maximum(norms - 2 * (a.vec @ b.vec.T), 0), off
+
+
+def _usable(vectors: DataFrame, id_col: str, vector_col: str, asks: Column | None) -> tuple[DataFrame, int, int, float]:
+    """(row, id, vec, asks) of comparable rows, their dimension and number, and the power of two that no number exceeds."""
+    flag = F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))
+    base = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"), flag.alias("asks"))
+    base = base.where("vec IS NOT NULL AND size(vec) > 0 AND NOT exists(vec, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))")
+    largest = F.max(F.greatest(F.array_max("vec"), -F.array_min("vec")))
+    sizes = base.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), largest.alias("most")).orderBy(F.desc("n"), F.desc("dim")).first()
+    if not sizes:
+        return base, 0, 0, 1.0
+    numbered = base.where(F.size("vec") == sizes.dim).select(F.monotonically_increasing_id().alias("row"), "id", "vec", "asks")
+    return numbered, sizes.dim, sizes.n, math.frexp(sizes.most)[1]
+
+
+def _unit(power: int) -> float:
+    return math.ldexp(1.0, max(-1000, min(1000, -power)))
+
+
+def _step(pivots: np.ndarray) -> int:
+    return max(16, AT_ONCE // len(pivots))
+
+
+def _key(pivots: np.ndarray, unit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = _Scaled(pivots, unit)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, _step(pivots)):
+                part = batch.slice(at, _step(pivots))
                 vec = _matrix(part.column(2), pivots.shape[1])
-                near = _distances(vec, pivots).argmin(1)
-                # The exact distance from the nearest pivot is what bounds rest on.
-                dist = np.sqrt(((vec - pivots[near]) ** 2).sum(1))
-                yield pa.record_batch([*part.columns, pa.array(near.astype(np.int32)), pa.array(dist)], names=["row", "id", "vec", "pivot", "dist"])
+                near = _squares(_Scaled(vec, unit), centres)[0].argmin(1)
+                yield pa.record_batch([*part.columns, pa.array(near.astype(np.int32)), pa.array(_exact(vec, pivots[near]))], names=["row", "id", "vec", "asks", "pivot", "dist"])
 
     return run
 
 
-def _first_bounds(k: int, dim: int):
-    def run(table: pa.Table) -> pa.Table:
-        """A cell's rows with a bound of the k-th distance from the cell alone; infinite if it has too few."""
-        vec = _matrix(table.column("vec"), dim)
-        bound = np.full(len(vec), np.inf)
-        if len(vec) > k:
-            for at in range(0, len(vec), 1024):
-                d = _distances(vec[at : at + 1024], vec)
-                bound[at : at + 1024] = np.partition(d, k, axis=1)[:, k] + SLACK * (1 + np.abs(vec).max())
-        return table.append_column("bound", pa.array(bound))
+def _pivot_bounds(pivots: np.ndarray, unit: float, k: int):
+    """(row, id, vec, grp) to queries with a bound of the k-th distance: the nearest pivots are rows, one of them perhaps its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = _Scaled(pivots, unit)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _step(pivots)):
+                part = batch.slice(at, _step(pivots))
+                bound = np.full(part.num_rows, np.inf)
+                if len(pivots) > k:
+                    squares, off = _squares(_Scaled(_matrix(part.column(2), pivots.shape[1]), unit), centres)
+                    bound = np.sqrt(np.partition(squares + off, k, axis=1)[:, k]) / unit
+                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(bound), part.column(3)], names=["row", "id", "vec", "bound", "grp"])
 
     return run
 
 
-def _route(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, groups: int, blocks: int):
-    """Rows to (group, block, role): as a point to its group in all blocks, as a query to all groups that its bound reaches in one block."""
+def _gaps(queries: _Scaled, pivots: _Scaled, which: np.ndarray, low: np.ndarray, high: np.ndarray, unit: float) -> np.ndarray:
+    """Of each query the least distance from stretches of cells: of pivot ``which``, at ``low`` to ``high`` from it."""
+    squares, off = _squares(queries, pivots)
+    far, off = np.sqrt(squares) / unit, np.sqrt(off) / unit
+    # The root of a square that is off by x is off by sqrt(x) at most.
+    # Where both sides are infinite, nothing is known.
+    with np.errstate(invalid="ignore"):
+        return np.nan_to_num(np.maximum(np.maximum(low - (far + off)[:, which], (far - off)[:, which] - high), 0), nan=0.0, posinf=np.inf)
+
+
+def _route(pivots: np.ndarray, unit: float, stretches: dict[str, np.ndarray], groups: int):
+    """Queries to a copy for each group, other than their own, that their bound reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = _Scaled(pivots, unit)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                n = part.num_rows
-                cell, bound = part.column(3).to_numpy(), part.column(5).to_numpy()
-                d = _distances(_matrix(part.column(2), pivots.shape[1]), pivots)
-                gap = np.maximum(np.maximum(low - d, d - high), 0)
-                reach = np.zeros((n, groups), bool)
-                q, c = np.nonzero(gap <= (bound + SLACK)[:, None])
-                reach[q, group[c]] = True
+            for at in range(0, batch.num_rows, _step(stretches["pivot"])):
+                part = batch.slice(at, _step(stretches["pivot"]))
+                gap = _gaps(_Scaled(_matrix(part.column(2), pivots.shape[1]), unit), centres, stretches["pivot"], stretches["low"], stretches["high"], unit)
+                reach = np.zeros((part.num_rows, groups), bool)
+                q, s = np.nonzero(gap <= part.column(3).to_numpy()[:, None])
+                reach[q, stretches["grp"][s]] = True
+                reach[np.arange(part.num_rows), part.column(4).to_numpy()] = False
                 q, g = np.nonzero(reach)
-                row = part.column(0).to_numpy()
-                for who, where, block, role in ((np.repeat(np.arange(n), blocks), np.repeat(group[cell], blocks), np.tile(np.arange(blocks), n), False), (q, g, row[q] % blocks, True)):
-                    for cut in range(0, len(who), 8192):
-                        s = slice(cut, cut + 8192)
-                        yield pa.record_batch([*part.take(pa.array(who[s])).columns, pa.array(where[s].astype(np.int32)), pa.array(block[s].astype(np.int32)), pa.array(np.full(len(who[s]), role))], names=["row", "id", "vec", "pivot", "dist", "bound", "grp", "block", "query"])
+                for cut in range(0, len(q), 8192):
+                    own = part.take(pa.array(q[cut : cut + 8192]))
+                    yield pa.record_batch([*own.columns[:4], pa.array(g[cut : cut + 8192].astype(np.int32))], names=["row", "id", "vec", "bound", "grp"])
 
     return run
 
 
-def search_group(points: dict[str, np.ndarray], queries: dict[str, np.ndarray], pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, distance) of the nearest points of the group, at most k of each query (more among equals)."""
-    order = np.lexsort((points["dist"], points["pivot"]))
-    vec, cell, dist, row = (points[x][order] for x in ("vec", "pivot", "dist", "row"))
+def search_group(points: dict[str, np.ndarray], queries: dict[str, np.ndarray], pivots: np.ndarray, k: int, unit: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, distance), in order: the k nearest points of the group to each query, within its bound."""
+    tie = np.empty(len(points["row"]), np.int64)
+    tie[np.lexsort((points["row"], points["id"], points["null"]))] = np.arange(len(tie))
+    order = np.lexsort((tie, points["dist"], points["pivot"]))
+    vec, cell, dist, row, tie = (x[order] for x in (points["vec"], points["pivot"], points["dist"], points["row"], tie))
     edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     cuts = np.concatenate([np.arange(a, b, ANNULUS) for a, b in zip(edge, np.r_[edge[1:], len(cell)], strict=True)])
     ends = np.r_[cuts[1:], len(cell)]
-    d = _distances(queries["vec"], pivots[cell[cuts]])
-    gap = np.maximum(np.maximum(dist[cuts] - d, d - dist[ends - 1]), 0)
+    asked, held = _Scaled(queries["vec"], unit), _Scaled(vec, unit)
+    used, which = np.unique(cell[cuts], return_inverse=True)
+    gap = _gaps(asked, _Scaled(pivots[used], unit), which, dist[cuts], dist[ends - 1], unit)
+    outwards = np.argsort(gap, axis=1, kind="stable")
     bound = queries["bound"].copy()
-    scale = SLACK * (1 + max(np.abs(vec).max(), np.abs(queries["vec"]).max()))
-    found: list[list[np.ndarray]] = [[], [], []]
+    #: The last place among equals of the k best so far; where the bound is 0 only earlier ones are better.
+    last = np.full(len(bound), np.iinfo(np.int64).max)
+    first = np.minimum.reduceat(tie, cuts)
+    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
     def settle() -> None:
-        """Keep the k nearest of each query, and shrink its bound to the k-th."""
-        q, p, far = (np.concatenate(x) for x in found)
-        order = np.lexsort((far, q))
+        """Compute what waits, keep the k best of each query, and shrink its bound to the k-th."""
+        nonlocal best
+        q, p = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        waiting.clear()
+        far = np.concatenate([_exact(queries["vec"][q[i : i + 65536]], vec[p[i : i + 65536]]) for i in range(0, max(1, len(q)), 65536)])
+        near = far <= bound[q]
+        q, p, far = (np.concatenate([x, y[near]]) for x, y in zip(best, (q, p, far), strict=True))
+        order = np.lexsort((tie[p], far, q))
         q, p, far = q[order], p[order], far[order]
-        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        size = np.diff(np.r_[start, len(q)])
-        full = start[size >= k]
-        bound[q[full]] = np.minimum(bound[q[full]], far[full + k - 1])
-        keep = far <= bound[q] + scale
-        for x, y in zip(found, (q, p, far), strict=True):
-            x[:] = [y[keep]]
-
-    waiting = 0
-    # Annuli that lie nearest come first; a query takes part while its bound reaches them.
-    for a in np.argsort(gap.mean(0), kind="stable").tolist():
-        who = np.flatnonzero(gap[:, a] <= bound + scale)
-        if not len(who):
-            continue
-        far = _distances(queries["vec"][who], vec[cuts[a] : ends[a]])
-        q, p = np.nonzero(far <= (bound[who] + scale)[:, None])
-        q, p, far = who[q], p + cuts[a], far[q, p]
-        other = queries["row"][q] != row[p]
-        for x, y in zip(found, (q[other], p[other], far[other]), strict=True):
-            x.append(y)
-        waiting += len(q)
-        if waiting >= 4 * k * len(bound):
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+        turn = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+        full = np.flatnonzero(turn == k - 1)
+        bound[q[full]], last[q[full]] = np.minimum(bound[q[full]], far[full]), tie[p[full]]
+        best = q[turn < k], p[turn < k], far[turn < k]
+
+    at, width = 0, 1
+    while at < len(cuts):
+        mine = outwards[:, at : at + width]
+        reached = np.take_along_axis(gap, mine, 1) <= bound[:, None]
+        if not reached.any():
+            break
+        reached &= (bound[:, None] > 0) | (first[mine] < last[:, None])
+        who, turn = np.nonzero(reached)
+        annulus = mine[who, turn]
+        by = np.argsort(annulus, kind="stable")
+        who, annulus = who[by], annulus[by]
+        some = 0
+        for own in np.split(np.arange(len(who)), np.flatnonzero(np.diff(annulus)) + 1) if len(who) else ():
+            a, ask = annulus[own[0]], who[own]
+            here = slice(cuts[a], ends[a])
+            squares, off = _squares(asked[ask], held[here])
+            near = squares <= ((bound[ask] * unit) ** 2)[:, None] + off
+            near &= (bound[ask] > 0)[:, None] | (tie[None, here] < last[ask][:, None])
+            q, p = np.nonzero(near)
+            q, p = ask[q], p + cuts[a]
+            other = queries["row"][q] != row[p]
+            waiting.append((q[other], p[other]))
+            some += int(other.sum())
+            if some >= WAITING:
+                settle()
+                some = 0
+        if waiting:
             settle()
-            waiting = 0
-    if not found[0]:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0)
-    settle()
-    q, p, _ = (x[0] for x in found)
-    far = np.concatenate([np.sqrt(((queries["vec"][q[i : i + 65536]] - vec[p[i : i + 65536]]) ** 2).sum(1)) for i in range(0, len(q), 65536)] or [np.zeros(0)])
+        at, width = at + width, max(1, at + width)
+    q, p, far = best
     return q, order[p], far
 
 
-def _search(pivots: np.ndarray, k: int):
-    def run(table: pa.Table) -> pa.Table:
-        ask = table.column("query").to_numpy()
-        sides = []
-        for role in (False, True):
-            own = table.filter(pa.array(ask == role))
-            ids = own.column("id")
-            null = ids.is_null().to_numpy()
-            # An empty side has no vectors to shape.
-            vec = _matrix(own.column("vec"), pivots.shape[1]) if own.num_rows else np.zeros((0, pivots.shape[1]))
-            sides.append({c: own.column(c).to_numpy() for c in ("row", "pivot", "dist", "bound")} | {"vec": vec, "id": np.where(null, 0, ids.fill_null(0).to_numpy()), "null": null})
-        points, queries = sides
-        if not len(points["row"]) or not len(queries["row"]):
+def _search(pivots: np.ndarray, k: int, unit: float):
+    def side(table: pa.Table, more: tuple[str, ...]) -> dict[str, np.ndarray]:
+        null = table.column("id").is_null().to_numpy()
+        return {c: table.column(c).to_numpy() for c in ("row", *more)} | {"vec": _matrix(table.column("vec"), pivots.shape[1]), "id": np.where(null, 0, table.column("id").fill_null(0).to_numpy()), "null": null}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        points, queries = side(left, ("pivot", "dist")), side(right, ("bound",))
+        if len(points["row"]) and len(queries["row"]):
+            q, p, far = search_group(points, queries, pivots, k, unit)
+        else:
             q = p = np.zeros(0, np.int64)
             far = np.zeros(0)
-        else:
-            q, p, far = search_group(points, queries, pivots, k)
-        order = np.lexsort((points["row"][p], points["id"][p], points["null"][p], far, q))
-        q, p, far = q[order], p[order], far[order]
-        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
-        turn = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-        q, p, far = q[turn < k], p[turn < k], far[turn < k]
-        return pa.table({"row": queries["row"][q], "id": pa.array(queries["id"][q], mask=queries["null"][q]), "other": points["row"][p], "neighbor": pa.array(points["id"][p], mask=points["null"][p]), "distance": far})
+        return pa.table({"row": queries["row"][q], "id": pa.array(queries["id"][q], pa.int64(), mask=queries["null"][q]), "other": points["row"][p], "neighbor": pa.array(points["id"][p], pa.int64(), mask=points["null"][p]), "distance": far})
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, rank, neighbor_id, distance) of the k nearest others of every vector; ranks count from 1."""
+def _join(index: DataFrame, queries: DataFrame, pivots: np.ndarray, k: int, unit: float) -> DataFrame:
+    """What the queries (row, id, vec, bound, grp) find, each in its group."""
+    spark = index.sparkSession
+    # One row a group.
+    blocks = [(r.grp, math.ceil(r.n / BLOCK)) for r in queries.groupBy("grp").agg(F.count("*").alias("n")).collect()]
+    sizes = spark.createDataFrame(blocks, "grp int, blocks int")
+    points = index.join(sizes, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = queries.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
+    keys = ["grp", "block"]
+    return points.select(*keys, "row", "id", "vec", "pivot", "dist").groupBy(*keys).cogroup(asked.select(*keys, "row", "id", "vec", "bound").groupBy(*keys)).applyInArrow(_search(pivots, k, unit), FOUND)
+
+
+def top_k(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", asks: Column | None = None) -> DataFrame:
+    """(id, rank, neighbor_id, distance) of the k nearest others of every vector, or of those that ``asks`` is true of; ranks count from 1."""
     spark = vectors.sparkSession
     result = f"{id_col} bigint, rank int, neighbor_id bigint, distance double"
-    base, dim, n = _usable(vectors, id_col, vector_col)
+    base, dim, n, power = _usable(vectors, id_col, vector_col, asks)
     if n < 2:
         return spark.createDataFrame([], result)
-    base = scratch.materialize(base.select(F.monotonically_increasing_id().alias("row"), "id", "vec"), "vectors")
-    # sqrt(n) pivots: 31,000 for 10 ** 9 vectors.
-    rows = base.orderBy(F.xxhash64("vec"), "row").limit(math.ceil(math.sqrt(n))).collect()
+    unit = _unit(power)
+    # sqrt(n) pivots: 31,000, or 16 MB of 64 numbers each, for 10 ** 9 vectors.
+    rows = base.orderBy(F.xxhash64("vec"), "row").limit(math.ceil(math.sqrt(n))).select("vec").collect()
     pivots = np.unique(np.array([r.vec for r in rows]), axis=0)
-    keyed = base.mapInArrow(_key(pivots), "row bigint, id bigint, vec array<double>, pivot int, dist double")
-    bounded = keyed.groupBy("pivot").applyInArrow(_first_bounds(k, dim), "row bigint, id bigint, vec array<double>, pivot int, dist double, bound double")
-    index = scratch.materialize(bounded.repartitionByRange("pivot").sortWithinPartitions("pivot", "dist"), "index")
-    cells = index.groupBy("pivot").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).orderBy("pivot").collect()
-    low, high, size = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
-    for c in cells:
-        low[c.pivot], high[c.pivot], size[c.pivot] = c.low, c.high, c.n
-    high = np.where(size > 0, high, -np.inf)
-    groups = max(1, math.ceil(n * dim * 8 / GROUP_BYTES))
-    group = np.minimum((np.cumsum(size) - size) * groups // n, groups - 1)
-    # Enough blocks that no block's queries are more than a group's points, and all cores have work.
-    blocks = max(groups, math.ceil(spark.sparkContext.defaultParallelism / groups), math.ceil(n / 8192 / groups))
-    routed = index.mapInArrow(_route(pivots, low, high, group, groups, blocks), "row bigint, id bigint, vec array<double>, pivot int, dist double, bound double, grp int, block int, query boolean")
-    found = routed.groupBy("grp", "block").applyInArrow(_search(pivots, k), "row bigint, id bigint, other bigint, neighbor bigint, distance double")
+    keyed = scratch.materialize(base.mapInArrow(_key(pivots, unit), POINT), "keyed")
+    groups = max(math.ceil(n * dim * 8 / GROUP_BYTES), min(spark.sparkContext.defaultParallelism, math.ceil(n / 4096)))
+    ordered = keyed.repartitionByRange(groups, "pivot", "dist", "row").sortWithinPartitions("pivot", "dist", "row")
+    index = scratch.materialize(ordered.withColumn("grp", F.spark_partition_id()), "index")
+    scratch.drop(keyed)
+    # A row for each pivot and group at most.
+    cells = index.groupBy("grp", "pivot").agg(F.min("dist").alias("low"), F.max("dist").alias("high")).toPandas()
+    stretches = {c: cells[c].to_numpy() for c in ("grp", "pivot", "low", "high")}
+    home = index.where("asks").select("row", "id", "vec", "grp").mapInArrow(_pivot_bounds(pivots, unit, k), QUERY)
+    home = scratch.materialize(home, "queries")
+    near = scratch.materialize(_join(index, home, pivots, k, unit), "near")
+    reached = near.groupBy("row").agg(F.max("distance").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k).select("row", "kth")
+    bounded = home.join(reached, "row", "left").select("row", "id", "vec", F.least("bound", "kth").alias("bound"), "grp")
+    routed = bounded.mapInArrow(_route(pivots, unit, stretches, groups), QUERY)
+    far = _join(index, routed, pivots, k, unit)
     best = Window.partitionBy("row").orderBy("distance", F.col("neighbor").isNull(), "neighbor", "other")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select(F.col("id").alias(id_col), "rank", F.col("neighbor").alias("neighbor_id"), "distance")
+    ranked = near.unionAll(far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    out = scratch.materialize(ranked.select(F.col("id").alias(id_col), "rank", F.col("neighbor").alias("neighbor_id"), "distance"), "neighbours")
+    scratch.drop(index, home, near)
+    return out
