@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Folders that were named and not yet removed.
+#: Folders that were named and not yet removed; of them those of the innermost ``within`` of this thread.
 _standing: set[str] = set()
+_own: ContextVar[set[str] | None] = ContextVar("own", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     folder = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
     _standing.add(folder)
+    if (own := _own.get()) is not None:
+        own.add(folder)
     return f"{folder}/{name}"
 
 
@@ -65,6 +71,25 @@ def drop(*tables: DataFrame) -> None:
         remove(table.sparkSession, table._scratch_path)
 
 
+@contextmanager
+def within(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """What is written within goes at the end, but for the tables that are put into the list."""
+    outer, kept = _own.get(), []
+    own: set[str] = set()
+    _own.set(own)
+    try:
+        yield kept
+    finally:
+        _own.set(outer)
+        stay = {t._scratch_path.rpartition("/")[0] for t in kept}
+        for folder in own & _standing:
+            if folder not in stay:
+                _standing.discard(folder)
+                _delete(spark, folder)
+            elif outer is not None:
+                outer.add(folder)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete all tables that still stand; how many. No result that was not written may be read afterwards."""
     count = len(_standing)
