@@ -45,16 +45,48 @@ def corpus(n, seed):
 def test_groups_match_brute_force(spark):
     texts = corpus(400, 1)
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
-    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(docs).collect()}
+    got = {r.doc_id: r.class_id for r in simhash.near_duplicates(docs).collect()}
     want = brute(texts, simhash.RADIUS)
     found = sum(got[i] == w for i, w in enumerate(want) if w != i)
     assert found >= 0.9 * sum(w != i for i, w in enumerate(want)) > 0
     assert all(want[got[i]] == want[i] for i in got)  # nothing joined that brute force keeps apart
     exact = brute(texts, 11)
-    near = {r.doc_id: r.group_id for r in simhash.near_duplicates(docs, radius=11).collect()}
+    near = {r.doc_id: r.class_id for r in simhash.near_duplicates(docs, radius=11).collect()}
     assert [near[i] for i in range(len(texts))] == exact
 
 
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 40])
+def test_links_are_all_counted_once(spark, monkeypatch, bucket):
+    """Also where buckets are cut into salts: 200 texts that differ in a word or two fill the buckets."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(7)
+    base = [f"word{i}" for i in range(120)]
+    texts = corpus(100, 5)
+    for i in range(200):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(120)] = f"other{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    hot = simhash._hot(simhash.with_fingerprints(docs, "doc_id", "text").select("f0", "f1").distinct())
+    assert (hot is not None and hot.count() > 0) == (bucket == 40)
+    prints = simhash.fingerprints(texts)
+    distinct = np.unique(prints, axis=0)
+    want = [int((np.bitwise_count(distinct ^ p).sum(1) <= simhash.RADIUS).sum()) - 1 for p in prints]
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert [got[i].n_links for i in range(len(texts))] == want and max(want) > 100
+    assert [got[i].class_id for i in range(len(texts))] == brute(texts, simhash.RADIUS)
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "alpha beta gamma", "z", 1, 2), (1, "alpha beta gamma", "y", 1, 2), (2, "", "x", 3, 4), (None, "alpha beta gamma", None, None, None), (None, "delta", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `meta.lang` string, _LG0 int, `_lg``1` int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    once = sorted(map(tuple, kept.collect()), key=str)
+    assert len(once) == 3 and once == sorted(map(tuple, simhash.keep_one(docs.repartition(3)).collect()), key=str)
+
+
 def test_pairs_within_eleven_bits_are_all_found():
     rng = np.random.default_rng(3)
     one = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
@@ -66,7 +98,7 @@ def test_pairs_within_eleven_bits_are_all_found():
 
         both = np.array([one, other]).view(np.int64)
         rows = next(simhash._keys([pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["f0", "f1"])]))
-        a, _ = simhash._verify(*[rows.column(i).to_numpy(zero_copy_only=False) for i in range(4)], 11)
+        a, _, _ = simhash._verify(*[rows.column(i).to_numpy(zero_copy_only=False) for i in range(4)], 11)
         assert len(a)
 
 
@@ -91,7 +123,7 @@ def test_odd_rows(spark):
     long = "word " * 200_000 + "end"
     rows = [(1, None, "a", "b"), (2, "", "a", "b"), (3, "", "a", "b"), (None, "alpha beta gamma delta", "a", "b"), (5, "alpha beta gamma delta", "a", "b"), (5, "alpha beta gamma delta", "c", "d"), (6, long, "a", "b"), (7, "!!! ???", "a", "b"), (8, "!!! ???", "a", "b"), (1, None, "a", "b")]
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = sorted((r.doc_id is None, r.doc_id, r.group_id, r.group_size) for r in simhash.near_duplicates(docs).collect() if r.doc_id)
+    got = sorted((r.doc_id is None, r.doc_id, r.class_id, r.class_size) for r in simhash.near_duplicates(docs).collect() if r.doc_id)
     assert [x[1:] for x in got] == [(1, 1, 1), (1, 1, 1), (2, 2, 1), (3, 3, 1), (5, 5, 3), (5, 5, 3), (6, 6, 1), (7, 7, 2), (8, 7, 2)]
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
