@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm.text import fresh, quoted
+
 WIDTH = 3
 #: Characters of a window of pieces, at least.
 LEAST_CHARS = 100
@@ -73,9 +75,9 @@ def _without(texts: pd.Series, starts: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf(T.IntegerType())
-def _covered(starts: pd.Series) -> pd.Series:
-    return pd.Series([0 if at is None else len({a + i for a in at for i in range(WIDTH)}) for at in starts], dtype="int32")
+def _covered(starts: Column) -> Column:
+    """How many lines the windows from ``starts`` on cover."""
+    return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda at: F.array(*[at + i for i in range(WIDTH)])))))
 
 
 def _pieces(line: str) -> list[str]:
@@ -185,14 +187,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_lines, n_removed) of every row, the text without its repeated lines."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    gone = removals(docs, id_col, text_col).select(F.col("id").alias("gid"), F.col("th").alias("gth"), "starts")
+    gone = removals(docs, id_col, text_col).select(F.col("id").alias("gid"), F.col("th").alias("gth"), "starts", _covered(F.col("starts")).alias("n_gone"))
     joined = base.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
     cut = _without(F.when(F.col("starts").isNotNull(), F.col("text")), F.col("starts"))
     return joined.select(
         F.col("id").alias(id_col),
         F.coalesce(cut, "text").alias(text_col),
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"),
-        _covered("starts").alias("n_removed"),
+        F.coalesce("n_gone", F.lit(0)).alias("n_removed"),
     )
 
 
@@ -201,8 +203,7 @@ def apply_to(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A document that was null or blank before stays as it is.
     """
-    fresh = iter(name for i in range(10_000) if (name := f"_ld{i}") not in docs.columns)
-    gid, gth, starts, spans, th, cut = (next(fresh) for _ in range(6))
+    gid, gth, starts, spans, th, cut = fresh(docs.columns, 6)
     # One row a document, so that texts move once.
     lines = removals(docs, id_col, text_col).select("id", "th", "starts", F.lit(None).cast("array<struct<at:int,n:int>>").alias("spans"))
     pieces = passages(docs, id_col, text_col).select("id", "th", F.lit(None).cast("array<int>").alias("starts"), "spans")
@@ -211,4 +212,4 @@ def apply_to(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hit = F.col(gth).isNotNull()
     joined = joined.withColumn(cut, _without_any(F.when(hit, F.col(text_col)), F.col(starts), F.col(spans)["at"], F.col(spans)["n"]))
     kept = joined.where(~hit | (F.trim(F.col(cut)) != ""))
-    return kept.select(*[F.coalesce(cut, text_col).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return kept.select(*[F.coalesce(cut, text_col).alias(c) if c == text_col else quoted(c) for c in docs.columns])

@@ -58,3 +58,12 @@ def test_passages_on_one_line_are_cut(spark):
     assert {i: got[i] for i in (1, 4, 6, 7)} == {i: texts[i] for i in (1, 4, 6, 7)}
     assert got[2] == texts[2].replace(" " + passage, "") and 3 not in got and got[8] == texts[8].replace(passage, "").lstrip()
     assert len(got[5].split()) < 190
+
+
+def test_columns_of_any_name(spark):
+    passage = "first line\nsecond line\nthird line"
+    rows = [(1, passage, "a", 1, "b"), (2, "x\n" + passage, "a", 1, "b"), (3, passage, "a", 1, "b"), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `meta.lang` string, _LG0 int, `_lg``1` string")
+    out = linededup.apply_to(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], (2, "x", "a", 1, "b"), rows[3]], key=str)
