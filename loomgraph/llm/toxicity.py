@@ -17,7 +17,8 @@ threshold. A segment is significant, and a document toxic, at a chance below ``A
 is the chance of its best segment.
 
 Bound of the fit: ``MOST_LABELLED`` labelled documents, the first by hash of their id; scoring
-covers every document. With no toxic or no clean label nothing is toxic.
+covers every document. With no toxic or no clean label nothing is toxic. The model goes to every worker if it has at most
+``MOST_WORDS`` words; that of very long labelled documents may have more and is then joined to the words of each text instead.
 
 Defined results: null and empty texts have no words, no segments and p-value 1; null ids are
 scored, and never labelled; a null label is no label; of several labels of one id, toxic wins;
@@ -26,6 +27,7 @@ rows alike are scored alike; empty tables give empty results; other columns are
 
 from __future__ import annotations
 
+import dataclasses
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.text import chunks
+from loomgraph.llm.text import chunks, fresh, quoted
 from loomgraph.plans import scratch
 
 MOST_LABELLED = 200_000
@@ -59,6 +61,8 @@ class Model:
     drift: float
     rate: float
     k: float
+    #: (word, score) of a model that is too large to be sent, which ``hashes`` and ``scores`` leave out.
+    words: DataFrame | None = None
 
 
 def segments(scores: list[float], places: list[int], drift: float) -> list[tuple[int, int, float]]:
@@ -127,6 +131,11 @@ def _rate(values: np.ndarray, chances: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> Model | None:
     """The model of the labelled documents; None if they are not of both kinds."""
+    with scratch.within(docs.sparkSession) as kept:
+        return _fit(docs, labels, id_col, text_col, most, kept)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int, kept: list[DataFrame]) -> Model | None:
     known = labelled(docs, labels, id_col, text_col, most)
     counts = known.mapInArrow(_counts, "word bigint, t bigint, c bigint").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = scratch.materialize(counts, "words")
@@ -144,24 +153,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     least = 2 * math.log(max(1, counts.where("t > 0").count()) / BY_CHANCE)
     chosen = counts.where("t > 0").withColumn("score", score).where((F.col("score") >= LEAST_SCORE) & (ratio >= least))
     chosen = scratch.materialize(chosen.select("word", "score", "t", "c"), "model")
-    if (size := chosen.count()) > MOST_WORDS:
-        raise ValueError(f"the model has {size} words, too many to send to every worker; lower BY_CHANCE")
-    rows = chosen.toPandas()
-    hashes = rows["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, scores = hashes[order], rows["score"].to_numpy(float)[order]
-    share_t = (float(rows["t"].sum()) + 1) / (n_t + 2)
-    smooth = rows["c"].to_numpy(float)[order] + PRIOR * (rows["t"] + rows["c"]).to_numpy(float)[order]
-    clean = smooth / (n_c + prior)
-    share_c = min(0.5, float(clean.sum()) + 1 / (n_c + 2))
+    # What the drift and the rate rest on; a word's clean chance is smoothed.
+    clean = (F.col("c") + PRIOR * (F.col("t") + F.col("c"))) / (n_c + prior)
+    size, toxic, clean_sum = chosen.agg(F.count("*"), F.sum("t"), F.sum(clean)).first()
+    share_t = (float(toxic or 0) + 1) / (n_t + 2)
+    share_c = min(0.5, (clean_sum or 0.0) + 1 / (n_c + 2))
     drift = min(-1e-3, math.log1p(-min(share_t, 0.99)) - math.log1p(-share_c))
-    rate = _rate(np.r_[drift, scores], np.r_[max(0.0, 1 - clean.sum()), clean]) if size else 1.0
-    draft = Model(hashes, scores, drift, rate, 1.0)
+    # Words of like counts have like scores: the rate is solved over these, of which there are few.
+    levels = chosen.groupBy("t", "c").agg(F.first("score").alias("score"), F.sum(clean).alias("clean")).toPandas()
+    rate = _rate(np.r_[drift, levels["score"].to_numpy(float)], np.r_[max(0.0, 1 - (clean_sum or 0.0)), levels["clean"].to_numpy(float)]) if size else 1.0
+    hashes, scores = np.zeros(0, np.uint64), np.zeros(0)
+    if size <= MOST_WORDS:
+        rows = chosen.select("word", "score").toPandas()
+        hashes, scores = rows["word"].to_numpy(np.int64).view(np.uint64), rows["score"].to_numpy(float)
+        order = np.argsort(hashes)
+        hashes, scores = hashes[order], scores[order]
+    held = None
+    if size > MOST_WORDS:
+        held = chosen.select("word", "score")
+        kept.append(chosen)
+    draft = Model(hashes, scores, drift, rate, 1.0, held)
     least = 2 / rate
-    tail = known.where("NOT toxic").select(F.lit(0).alias("id"), "text").mapInArrow(_scorer(draft, False), f"id int, {RESULT}")
+    tail = _scored(known.where("NOT toxic").select(F.lit(0).alias("id"), "text"), draft, False)
     above, words = tail.agg(F.sum(F.size(F.filter("segments", lambda s: s["score"] >= least))), F.sum("n_words")).first()
     k = ((above or 0) + 1) / max(1, words or 0) * math.exp(rate * least)
-    return Model(hashes, scores, drift, rate, k)
+    return Model(hashes, scores, drift, rate, k, held)
 
 
 def _lookup(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,8 +189,26 @@ def _lookup(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, model.scores[at[hit]]
 
 
+def _lookup_own(words: pa.Array, scores: pa.Array, hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same where each text brings those of its words that are in the model."""
+    hits, found = [], []
+    for i, (own, score) in enumerate(zip(words.to_pylist(), scores.to_pylist(), strict=True)):
+        if own:
+            named = np.array(own, np.int64).view(np.uint64)
+            order = np.argsort(named)
+            part = Model(named[order], np.array(score)[order], 0, 0, 0)
+            hit, each = _lookup(part, hashes[edges[i] : edges[i + 1]])
+            hits.append(hit + edges[i])
+            found.append(each)
+    return (np.concatenate(hits), np.concatenate(found)) if hits else (np.zeros(0, np.int64), np.zeros(0))
+
+
 def _scorer(model: Model | None, significant: bool = True):
-    """(id, text) batches to (id, *RESULT); ``significant``: only such segments are returned."""
+    """(id, text) batches to (id, *RESULT); ``significant``: only such segments are returned.
+
+    Further columns (words, scores) hold, for each text, its words of a model that was not sent.
+    """
+    model = model and dataclasses.replace(model, words=None)
 
     def chance(score: float, n: int) -> float:
         return -math.expm1(-model.k * max(1, n) * math.exp(-model.rate * score))
@@ -187,7 +221,10 @@ def _scorer(model: Model | None, significant: bool = True):
                 starts, _, hashes = texts.words()
                 edges = np.searchsorted(starts, texts.offsets)
                 sizes.append(np.diff(edges))
-                hit, scores = _lookup(model, hashes) if model else (np.zeros(0, np.int64), np.zeros(0))
+                if batch.num_columns > 2:
+                    hit, scores = _lookup_own(batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a), hashes, edges)
+                else:
+                    hit, scores = _lookup(model, hashes) if model else (np.zeros(0, np.int64), np.zeros(0))
                 cut = np.searchsorted(hit, edges)
                 for i in range(b - a):
                     lo, hi = cut[i], cut[i + 1]
@@ -205,16 +242,45 @@ def _scorer(model: Model | None, significant: bool = True):
     return run
 
 
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, text) to (place, word), each word of a text once."""
+    for batch in batches:
+        for a, _, texts in chunks(batch.column(1)):
+            starts, _, hashes = texts.words()
+            owner = np.searchsorted(texts.offsets, starts, side="right") - 1 + a
+            pairs = np.unique(np.stack([owner.astype(np.uint64), hashes]), axis=1) if len(starts) else np.zeros((2, 0), np.uint64)
+            for cut in range(0, pairs.shape[1], 1 << 16):
+                part = pairs[:, cut : cut + (1 << 16)]
+                yield pa.record_batch([batch.column(0).take(pa.array(part[0].astype(np.int64))), pa.array(part[1].view(np.int64))], names=["place", "word"])
+
+
+def _scored(base: DataFrame, model: Model | None, significant: bool = True) -> DataFrame:
+    """(id, text) to (id, *RESULT)."""
+    columns = f"id {base.schema['id'].dataType.simpleString()}, {RESULT}"
+    if model is None or model.words is None:
+        return base.mapInArrow(_scorer(model, significant), columns)
+    placed = scratch.materialize(base.withColumn("place", F.monotonically_increasing_id()), "texts")
+    met = placed.select("place", "text").mapInArrow(_distinct_words, "place bigint, word bigint").join(model.words, "word")
+    own = met.groupBy("place").agg(F.collect_list("word").alias("words"), F.collect_list("score").alias("scores"))
+    return placed.join(own, "place", "left").select("id", "text", "words", "scores").mapInArrow(_scorer(model, significant), columns)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> DataFrame:
     """(id, p_value, is_toxic, n_words, segments) of every row; segments are in words from 0, both ends within."""
     model = fit(docs, labels, id_col, text_col, most)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(_scorer(model), f"id {base.schema['id'].dataType.simpleString()}, {RESULT}").withColumnRenamed("id", id_col)
+    return _scored(base, model).withColumnRenamed("id", id_col)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> DataFrame:
     """The documents that are not toxic, in their own columns."""
-    scorer = _scorer(fit(docs, labels, id_col, text_col, most), False)
+    model = fit(docs, labels, id_col, text_col, most)
+    if model is not None and model.words is not None:
+        (place,) = fresh(docs.columns, 1)
+        placed = scratch.materialize(docs.withColumn(place, F.monotonically_increasing_id()), "documents")
+        bad = _scored(placed.select(F.col(place).alias("id"), F.col(text_col).alias("text")), model, False).where("is_toxic").select(F.col("id").alias(place))
+        return placed.join(bad, place, "left_anti").select(*[quoted(c) for c in docs.columns])
+    scorer = _scorer(model, False)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

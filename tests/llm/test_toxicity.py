@@ -65,6 +65,20 @@ def test_held_out(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.is_toxic}
 
 
+def test_a_model_too_large_to_send(spark, monkeypatch):
+    """It is joined to the words of each text, with the same results."""
+    rows = corpus(300, 6) + [(900, None, False), (901, "", False)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id bigint, text string, place string").repartition(3)
+    labels = spark.createDataFrame([(i, int(x), "y") for i, _, x in rows if i % 3], LABELS)
+    want = sorted(map(tuple, toxicity.toxicity(docs, labels).collect()))
+    kept = sorted(map(tuple, toxicity.reject_toxic(docs, labels).collect()), key=str)
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 1)
+    assert toxicity.fit(docs, labels).words.count() > 1
+    assert sorted(map(tuple, toxicity.toxicity(docs, labels).collect())) == want and any(r[2] for r in want)
+    again = toxicity.reject_toxic(docs, labels)
+    assert again.columns == docs.columns and sorted(map(tuple, again.collect()), key=str) == kept
+
+
 def test_odd_rows(spark):
     train = [(i, ("zzbad " if i % 2 else "") + f"good day number{i} to all", "s") for i in range(100, 200)]
     long = "fine words here " * 100_000
