@@ -8,14 +8,15 @@ are not seen. Strings and comments never give facts.
 from __future__ import annotations
 
 import ast
+import bisect
 import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from loomgraph.sources.parsers import docs
 from loomgraph.sources.parsers.builtins import is_builtin
-from loomgraph.sources.parsers.scan import Lexical, Places, brace_end, indent_end, keyword_end, mask
+from loomgraph.sources.parsers.scan import Lexical, Places, brace_end, close, indent_end, keyword_end, mask
 
 Facts = dict[str, list[dict]]
 _ID = r"[A-Za-z_]\w*"
@@ -42,7 +43,35 @@ class Language:
     functions: tuple[str, ...] = ("fn", "func", "function", "method", "def")
     types_after: bool = True  # types follow names (name: Type), or come before them
     private: str = r"\bprivate\b|\bprotected\b"
-    keywords: frozenset[str] = field(default=frozenset(["if", "for", "while", "switch", "match", "return", "catch", "sizeof", "and", "or", "not", "in", "when", "case", "new", "super", "function", "func", "fn", "def", "elif", "else", "do", "with", "let", "var", "val", "guard", "defer", "go", "select", "using", "lock", "typeof", "nameof", "await", "throw", "yield", "assert", "print_", "synchronized", "until", "unless", "elsif", "where"]))
+
+    @property
+    def keywords(self) -> frozenset[str]:
+        """Words before a bracket that are no call."""
+        return KEYWORDS.get(self.name, frozenset())
+
+
+def _words(text: str) -> frozenset[str]:
+    return frozenset(text.split())
+
+
+_C_WORDS = "if for while switch return sizeof do else case goto defined typeof _Alignof alignof __attribute__ __asm__ asm _Static_assert"
+_JS_WORDS = "if for while switch return catch function do else case throw super import typeof delete void await yield in of instanceof async new"
+KEYWORDS = {
+    "rust": _words("if while for match return loop in let as move else unsafe fn where impl dyn ref mut pub use break Fn FnMut FnOnce"),
+    "go": _words("if for switch select return func go defer range case interface struct map chan import const var type else package"),
+    "c": _words(_C_WORDS),
+    "cpp": _words(_C_WORDS + " catch new delete throw decltype static_assert noexcept co_await co_return co_yield typeid and or not explicit operator template using this"),
+    "javascript": _words(_JS_WORDS),
+    "typescript": _words(_JS_WORDS),
+    "java": _words("if for while switch return catch synchronized do else case throw new super this assert instanceof try"),
+    "ruby": _words("if unless while until case when return yield def class module and or not elsif in then do begin rescue ensure defined? alias undef else end self super nil true false redo retry break next"),
+    "lua": _words("if while for function return and or not until elseif in local then do end repeat else"),
+    "swift": _words("if guard while for switch return func in catch do else case init super self throw try await defer where is as let var subscript deinit some any"),
+    "csharp": _words("if for foreach while switch return catch using lock typeof sizeof default checked unchecked fixed new throw await yield base this when is as in out ref stackalloc and or not"),
+    "scala": _words("if for while match return catch do else case yield throw new super this def val var with extends import try finally type given using"),
+}
+#: Calls that the languages' own facts leave out.
+NO_CALLS = {"ruby": _words("require require_relative load puts print p"), "lua": _words("require print"), "javascript": _words("require"), "typescript": _words("require")}
 
 
 def _list(text: str | None) -> list[str]:
@@ -157,7 +186,8 @@ _TYPE = r"[\w.:<>\[\],?&* ]+?"
 
 
 def _c_function(prefix: str = "") -> str:
-    return rf"^{prefix}(?:[A-Za-z_][\w:<>,&*]*[ \t*&]+)+(?P<name>[A-Za-z_~][\w:~]*)\s*\([^;{{}}]*\)\s*(?:const\s*|noexcept\s*|override\s*|->\s*[\w:<>]+\s*)*(?=\{{)"
+    # The last word of the type may stand on the line before.
+    return rf"^{prefix}(?:[A-Za-z_][\w:<>,&*]*[ \t*&]+)*[A-Za-z_][\w:<>,&*]*(?:[ \t*&]+|[ \t*&]*\n[ \t*&]*)(?P<name>[A-Za-z_~][\w:~]*)\s*\([^;{{}}]*\)\s*(?:const\s*|noexcept\s*|override\s*|->\s*[\w:<>]+\s*)*(?::[^;{{}}]*)?(?=\{{)"
 
 
 _CONTROL = {"if", "for", "while", "switch", "return", "else", "catch", "do", "new", "throw", "case", "using", "lock", "foreach"}
@@ -366,6 +396,7 @@ def _anywhere(pattern: str) -> str:
 
 def _parse_patterns(source: str, lang: Language) -> Facts:
     code, text = mask(source, lang.lexical)
+    code = _blank(code, lang)
     places, lines, facts = Places(source), source.split("\n"), _empty()
     for at, path, names, star, meta in lang.imports(code, text):
         line, column = places.at(at)
@@ -392,13 +423,31 @@ def _parse_patterns(source: str, lang: Language) -> Facts:
             {"kind": kind, "name": m["name"], "parent": owner, "signature": head.strip() or None, "is_public": not re.search(lang.private, head), "doc": docs.before(lines, l1 - 1, lang.name), "metadata": _json(d.metadata(m) if d.metadata else {}), "start_line": l1, "start_column": c1, "end_line": l2, "end_column": c2 + 1}
         )
     functions = [(s, e, m["name"]) for s, e, k, m, _ in ordered if k in lang.functions or k in ("arrow", "template_fn")]
-    heads = set(found)
+    heads = [m.span("name") for _, _, _, m, _ in ordered]
+    starts = sorted(heads)
+    # Blocks whose members look like calls: methods without bodies, variants of an enum.
+    members = [(s, e) for s, e, k, _, _ in ordered if (lang.name, k) in _MEMBERS]
+    inner = [(s, e, k) for s, e, k, _, _ in ordered]
+
+    def declared(at: int) -> bool:
+        i = bisect.bisect_right(starts, (at, len(code))) - 1
+        return i >= 0 and starts[i][0] <= at < starts[i][1]
+
+    def unmade(at: int) -> bool:
+        """Whether a name stands where a class lists its members."""
+        if lang.name == "cpp":
+            return block(at) in ("class", "struct", "template_class", "template_struct") and "=" not in code[code.rfind("\n", 0, at) + 1 : at]
+        return lang.name == "typescript" and block(at) in ("class", "interface") and _is_signature(code, at)
+
+    def block(at: int) -> str:
+        """The kind of the innermost definition around a place."""
+        return min(((e - s, k) for s, e, k in inner if s <= at < e), default=(0, ""))[1]
 
     def caller(at: int) -> str:
         return next((name for s, e, name in reversed(functions) if s <= at < e), "")
 
     for at, callee, receiver, kind in _calls(code, lang):
-        if at not in heads:
+        if not declared(at) and not any(s < at < e for s, e in members) and not unmade(at):
             facts["calls"].append({"caller": caller(at), "callee": callee, "receiver": receiver, "call_kind": kind, "line": places.line(at)})
     for s, e, name in functions:
         for type_name, kind in _signature_types(code, s, e, lang):
@@ -410,45 +459,185 @@ def _json(meta: dict) -> dict[str, str]:
     return {k: json.dumps(v, ensure_ascii=False) for k, v in meta.items()}
 
 
+_MEMBERS = {("go", "interface"), ("rust", "enum"), ("typescript", "interface"), ("java", "enum_constant")}
+_OPEN = {")": "(", "]": "[", "}": "{"}
+#: Words after which a name and its bracket are an expression, not a declaration.
+_EXPRESSION = _words("return else throw co_return co_await co_yield case goto and or not do in delete await yield new")
+
+
+def _blank(code: str, lang: Language) -> str:
+    """Attributes and preprocessor lines as spaces."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+    if lang.name in ("c", "cpp"):
+        return re.sub(r"^[ \t]*#(?:[^\n]*\\\n)*[^\n]*", blank, code, flags=re.M)
+    if lang.name == "csharp":
+        return re.sub(r"^[ \t]*(?:\[[A-Za-z_][^\]\n]*\][ \t]*)+", blank, code, flags=re.M)
+    if lang.name == "rust":
+        for m in reversed(list(re.finditer(r"#!?\[", code))):
+            end = close(code, m.end() - 1)
+            code = code[: m.start()] + re.sub(r"[^\n]", " ", code[m.start() : end]) + code[end:]
+    return code
+
+
+def _is_signature(code: str, at: int) -> bool:
+    """Whether the name at a place of a class is that of a method without a body."""
+    opened = code.find("(", at)
+    after = re.match(r"\s*(?::[^;{}=]+)?;", code[close(code, opened) :]) if opened >= 0 else None
+    return bool(after) and bool(re.fullmatch(r"\s*(?:(?:public|private|protected|static|abstract|declare|async|readonly|override|get|set)\s+)*", code[code.rfind("\n", 0, at) + 1 : at]))
+
+
+def _opened(code: str, at: int) -> int:
+    """The offset of the bracket that the one at ``at`` closes; -1 if none is."""
+    closer, opener, depth = code[at], _OPEN[code[at]], 0
+    for i in range(at, -1, -1):
+        depth += (code[i] == closer) - (code[i] == opener)
+        if depth == 0:
+            return i
+    return -1
+
+
+def _receiver(code: str, at: int, separators: str) -> tuple[int, str, str]:
+    """Where the expression before a name begins, its text, and the separator that joins them; without one the name's place."""
+    start, text, joint = at, "", ""
+    while True:
+        sep = re.search(rf"(?<!\.)(?:{separators})\s*$", code[max(0, start - 200) : start])
+        if not sep:
+            return start, text, joint
+        end = max(0, start - 200) + sep.start()
+        joint = joint or sep[0].strip()
+        i = len(code[:end].rstrip())
+        if i and code[i - 1] == ">" and "::" in separators:  # type arguments
+            i = code.rfind("<", 0, i)
+            i = len(code[: max(0, i)].removesuffix("::"))
+        while i and code[i - 1] in ")]}":
+            j = _opened(code, i - 1)
+            if j < 0:
+                break
+            i = len(code[:j].rstrip()) if code[i - 1] != "}" else j
+            if code[j] == "{":
+                break
+        word = re.search(r"[@$]{0,2}[\w$]+[?!]?$", code[max(0, i - 200) : i])
+        i = max(0, i - 200) + word.start() if word else i
+        if i == start or i >= end:
+            return start, text, joint
+        start, text = i, re.sub(r"\s+", "", code[i:at])
+        text = re.sub(rf"(?:::)?<[^<>]*>(?={separators})|(?:{separators})$", "", text)
+
+
+def _is_pattern(code: str, at: int, end: int) -> bool:
+    """Whether a name with brackets, of Rust, is a pattern: of an arm, or left of an assignment by let."""
+    after = code[end : end + 300]
+    guard = re.search(r"\bif\b(?!\s+let\b)[^{};,]*$", code[max(0, at - 300) : at])
+    if not guard and re.match(r"[\s)]*(?:\|\s*[\w:]+\s*(?:\([^()]*\))?\s*)*(?:=>|if\b[^{};]*?=>)", after):
+        return True
+    return bool(re.match(r"[\s)]*=(?!=)", after)) and bool(re.search(r"\blet\b[^=;{}]*$", code[max(0, at - 300) : at]))
+
+
+def _is_declaration(code: str, at: int, end: int) -> bool:
+    """Whether a name with brackets, of C, C++ or C#, declares a function or an object: a type stands before it."""
+    before = code[code.rfind("\n", 0, at) + 1 : at]
+    word = re.search(r"([A-Za-z_]\w*|[>\]])[ \t]+$", before)
+    if word and word[1] not in _EXPRESSION:
+        return True
+    return bool(re.fullmatch(r"\s*(?:[A-Za-z_][\w:<>,]*\s+)*[A-Za-z_][\w:<>,]*\s*[*&]+\s*", before)) and code[end : end + 20].lstrip().startswith(";")
+
+
+def _initialisers(code: str) -> set[int]:
+    """Where the names of C++ constructors' initialisers stand."""
+    out: set[int] = set()
+    for m in re.finditer(r"\)\s*(?:noexcept\s*)?:(?!:)", code):
+        i = m.end()
+        while name := re.compile(r"\s*([\w:<>]+)\s*(?=[({])").match(code, i):
+            out.add(name.start(1))
+            i = close(code, name.end())
+            more = re.compile(r"\s*,").match(code, i)
+            if not more:
+                break
+            i = more.end()
+        else:
+            continue
+    return out
+
+
+def _calls_ruby(code: str, lang: Language):
+    plain = re.compile(r"(?<![\w.:@$&])(?P<name>[A-Za-z_]\w*[?!]?)\((?!\s*\|)")
+    command = re.compile(r"(?:^|(?<=[;{|]))[ \t]*(?:(?:return|then|else|do)[ \t]+)?(?P<name>[a-z_]\w*[?!]?)[ \t]+(?=[:\w\"'@\[{&*-])(?![-*&][ \t=])(?!(?:if|unless|while|until|and|or|then|do|end|in|rescue)\b)", re.M)
+    member = re.compile(r"(?:(?<![.\d])&?\.(?!\.)|::(?=[a-z_]))\s*(?P<name>[A-Za-z_]\w*[?!]?)")
+    found = {}
+    for pattern in (plain, command):
+        for m in pattern.finditer(code):
+            found[m.start("name")] = (m["name"], None, "direct")
+    for m in member.finditer(code):
+        start, text, _ = _receiver(code, m.start("name"), r"&?\.|::")
+        if text:
+            found[m.start("name")] = (m["name"], text, "method")
+    for at, (name, receiver, kind) in sorted(found.items()):
+        if kind == "method" or name not in lang.keywords:
+            yield at, name, receiver, kind
+
+
+def _calls_haskell(code: str):
+    for m in re.finditer(r"(?<![\w.'])([a-z_][\w']*)[ \t]+(?=[\w(\"\['])", code):
+        line = code[code.rfind("\n", 0, m.start()) + 1 : m.start()]
+        if "=" in line and m[1] not in _HASKELL:
+            yield m.start(1), m[1], None, "direct"
+
+
+_HASKELL = _words("in let of then else if case where do return deriving data newtype type class instance module import forall infix infixl infixr as qualified hiding")
+
+
 def _calls(code: str, lang: Language):
-    """(offset of the name, callee, receiver, kind) of everything that looks like a call."""
+    """(offset of the name, callee, receiver, kind) of everything that is a call."""
+    none = NO_CALLS.get(lang.name, frozenset())
     if lang.calls == "haskell":
-        for m in re.finditer(r"(?<![\w.'])([a-z_][\w']*)[ \t]+(?=[\w(\"\['])", code):
-            line = code[code.rfind("\n", 0, m.start()) + 1 : m.start()]
-            if "=" in line and m[1] not in ("in", "let", "of", "then", "else", "if", "case", "where", "do", "return"):
-                yield m.start(1), m[1], None, "direct"
+        yield from _calls_haskell(code)
+        return
+    if lang.name == "ruby":
+        yield from (x for x in _calls_ruby(code, lang) if x[1] not in none)
         return
-    pattern = rf"(?<![\w$])(?:(?P<new>new)\s+)?(?P<path>(?:[\w$]+(?:\([^()]*\)|\[[^\]]*\])?\s*(?:{lang.separators}))*)(?P<name>[\w$~]+{'[?!]?' if lang.name == 'ruby' else ''})\s*(?P<macro>!)?(?:::)?(?:<[\w:, ]*>)?\s*(?P<open>[(\[{{])"
-    for m in re.finditer(pattern, code):
-        name, path = m["name"], re.sub(rf"(?:{lang.separators})$", "", re.sub(r"\s+", "", m["path"]))
-        if m["open"] != "(" and not m["macro"] or name in lang.keywords and not path or name[0].isdigit():
+    macros = [(m.start(1), m.end(), close(code, m.end() - 1)) for m in re.finditer(r"(?<![\w$])([A-Za-z_]\w*)\s*!\s*[(\[{]", code)] if lang.calls == "rust" else []
+    skip = _initialisers(code) if lang.name == "cpp" else set()
+    for at, opened, end in macros:
+        # What a macro is given is no code yet.
+        if not any(a <= at < b for _, a, b in macros if a != opened):
+            yield at, re.match(r"\w+", code[at:])[0], None, "macro"
+    generic = r"(?:::)?(?:<[\w:, <>?\[\]]*>)?" if lang.name not in ("c", "lua", "go", "scala") else r"(?:\[[\w, ]*\])?" if lang.name in ("go", "scala") else ""
+    for m in re.finditer(rf"(?<![\w$])(?P<name>[A-Za-z_$][\w$]*)\s*{generic}\s*\(", code):
+        name, at = m["name"], m.start("name")
+        start, path, joint = _receiver(code, at, lang.separators)
+        if name in lang.keywords and not path or not path and name in none or at in skip or start in skip:
             continue
-        if code.endswith(("#[", "#!["), 0, m.start()):  # an attribute
+        before = code[max(0, start - 40) : start]
+        if before.endswith("@") and lang.name not in ("javascript", "typescript"):
+            continue
+        if any(a <= at < b for _, a, b in macros):
+            continue
+        end = close(code, m.end() - 1)
+        if re.search(r"\bnew\s+$", before):  # an object's creation is no call
             continue
-        at = m.start("name")
-        first = path or None
         if lang.calls == "rust":
-            if m["macro"]:
-                yield at, name, None, "macro"
-            elif path and m["path"].rstrip().endswith("::"):
+            if _is_pattern(code, at, end):
+                continue
+            if joint == "::":
                 if path in ("self", "Self"):
                     yield at, name, "self", "method"
                 else:
-                    yield at, f"{path}::{name}", first, "constructor" if name[0].isupper() else "associated"
+                    yield at, f"{path}::{name}", path, "constructor" if name[0].isupper() else "associated"
             else:
-                yield at, name, first, "method" if path else "direct"
-        elif m["macro"]:
+                yield at, name, path or None, "method" if path else "direct"
+        elif lang.name in ("c", "cpp", "csharp") and not path and _is_declaration(code, at, end):
             continue
-        elif m["new"] and lang.name in ("java", "csharp", "javascript", "typescript", "scala", "cpp"):
-            continue  # an object's creation is no call
         elif lang.calls == "methods":
-            yield at, name, first, "method"
-        elif lang.name in ("javascript", "typescript") and name == "require":
-            continue
-        elif path and lang.name == "go" and name[0].isupper():
-            yield at, f"{path}.{name}", first, "constructor"
+            yield at, name, path or None, "method"
+        elif lang.name == "go":
+            if not path and before.rstrip().endswith("]"):  # a conversion
+                continue
+            if path and name[0].isupper():
+                yield at, f"{path}.{name}", path, "constructor"
+            else:
+                yield at, name, path or None, "method" if path else "direct"
         else:
-            yield at, name, first, "method" if path else "direct"
+            yield at, name, path or None, "method" if path else "direct"
 
 
 def _signature_types(code: str, start: int, end: int, lang: Language) -> list[tuple[str, str]]:

@@ -1,4 +1,5 @@
 import pytest
+from exact_programs import EXACT
 from sources_by_language import SOURCES
 
 from loomgraph.sources import walk
@@ -19,6 +20,14 @@ def test_facts(language):
     assert types <= {(t["source"], t["type_name"], t["ref_kind"]) for t in facts["type_refs"]}
 
 
+@pytest.mark.parametrize("language", list(EXACT))
+def test_exactly_these_facts(language):
+    source, definitions, calls = EXACT[language]
+    facts = languages.parse(source, language)
+    assert {(d["name"], d["kind"]) for d in facts["definitions"]} == definitions
+    assert {(c["caller"], c["callee"], c["call_kind"]) for c in facts["calls"]} == calls
+
+
 @pytest.mark.parametrize(("language", "name", "doc"), [("rust", "Store", "Holds things."), ("python", "Child", "Says things."), ("go", "Server", "Server serves."), ("javascript", "add", "Adds."), ("java", "Service", "A service."), ("ruby", "Sorter", "Sorts things."), ("lua", "M.add", "Adds."), ("swift", "Circle", "A circle."), ("haskell", "Tree", "A tree."), ("scala", "Item", "Runs.")])
 def test_documentation(language, name, doc):
     found = [d["doc"] for d in languages.parse(SOURCES[language][0], language)["definitions"] if d["name"] == name]
