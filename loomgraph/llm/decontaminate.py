@@ -9,15 +9,18 @@ A test item is searched shard by shard, from the shortest list of postings to th
 
 * phrase: ``PHRASE`` consecutive words of the item, in order; lists are shifted by the word's
   offset and intersected; phrases that follow each other on one diagonal make one match. Items of
-  ``LEAST`` to ``PHRASE`` words are one phrase; shorter ones match nothing, as they are no evidence;
+  fewer words are one phrase;
 * proximity: ``SHARE`` of the item's distinct words, in any order, within ``SPREAD`` times its
   length; one of the rarest words must be among them, so that only places around these are
   looked at. Items need ``LEAST`` distinct words. Overlapping places make one match.
 
+``decontaminate`` reports the matches of all items. ``keep_clean``, the pipeline's stage, takes items of fewer than ``LEAST``
+words for no evidence that a text holds the test, and lets none of them remove a document.
+
 Only the lists of test words leave the index, to meet in their shard. Test items go to the
 workers in passes of at most ``PASS_CHARS`` characters, so their number is not bounded.
 
-Defined results: null and empty texts and items match nothing; null ids are reported as null;
+Defined results: null and empty texts and items, and items without a word, match nothing; null ids are reported as null;
 each of several rows alike is reported; empty tables give an empty result; other columns are not read.
 """
 
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.simhash import row_hashes
-from loomgraph.llm.text import Batch, chunks
+from loomgraph.llm.text import Batch, chunks, fresh, quoted
 from loomgraph.plans import scratch
 
 PHRASE = 13
@@ -45,6 +48,9 @@ SHARD_CHARS = 1 << 22
 PASS_CHARS = 1 << 24
 #: Positions between two texts of a shard, more than a phrase has words.
 GAP = 64
+#: Pairs of a place and one that follows it that are looked at at once.
+CELLS = 1 << 20
+_NONE = np.zeros(0, np.int64)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,21 +152,30 @@ def _has(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def find_phrases(words: np.ndarray, lists: dict[int, np.ndarray], width: int) -> list[tuple[int, int, int]]:
     """(position of the first word, offset in the item, words) of the longest runs of phrases."""
-    n = len(words)
-    sizes = np.array([len(lists.get(w, ())) for w in words.tolist()])
+    own = [lists.get(w, _NONE) for w in words.tolist()]
+    sizes = np.array([len(x) for x in own])
+    missing = np.r_[0, np.cumsum(sizes == 0)]
+    whole = np.flatnonzero(missing[width:] == missing[: len(missing) - width])
     found: dict[int, list[int]] = {}
-    for o in range(n - width + 1):
-        size = sizes[o : o + width]
-        if not size.all():
-            continue
-        order = np.argsort(size, kind="stable")
-        at = lists[int(words[o + order[0]])] - (o + order[0])
-        for j in order[1:]:
-            if not len(at):
-                break
-            at = at[_has(lists[int(words[o + j])], at + (o + j))]
-        for diagonal in at.tolist():
-            found.setdefault(diagonal, []).append(o)
+    at = 0
+    while at < len(whole):
+        # The rarest word of a phrase, from which it is grown to either side; all phrases that have it are met so.
+        first = int(whole[at])
+        rare = first + int(sizes[first : first + width].argmin())
+        diagonal = own[rare] - rare
+        left, right = np.zeros(len(diagonal), np.int64), np.zeros(len(diagonal), np.int64)
+        after = min(len(own), rare + width)
+        for side, steps in ((left, range(rare - 1, first - 1, -1)), (right, range(rare + 1, after))):
+            alive = np.arange(len(diagonal)) if side is left else np.flatnonzero(left + after - rare >= width)
+            for j in steps:
+                alive = alive[_has(own[j], diagonal[alive] + j)]
+                if not len(alive):
+                    break
+                side[alive] += 1
+        full = left + 1 + right >= width
+        for d, lo, hi in zip(diagonal[full].tolist(), (rare - left[full]).tolist(), (rare + right[full] - width + 2).tolist(), strict=True):
+            found.setdefault(d, []).extend(range(lo, hi))
+        at = int(np.searchsorted(whole, rare, side="right"))
     out = []
     for diagonal, offsets in found.items():
         runs = np.split(np.array(offsets), np.flatnonzero(np.diff(offsets) > 1) + 1)
@@ -168,28 +183,50 @@ def find_phrases(words: np.ndarray, lists: dict[int, np.ndarray], width: int) ->
     return sorted(out)
 
 
+def _around(places: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The sorted places that lie in the disjoint stretches from ``begin`` to ``end``."""
+    if len(places) <= len(begin):
+        at = np.searchsorted(begin, places, side="right") - 1
+        return places[(at >= 0) & (places <= end[at])]
+    lo, hi = np.searchsorted(places, begin), np.searchsorted(places, end, side="right")
+    n = hi - lo
+    return places[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)]
+
+
 def find_near(words: np.ndarray, lists: dict[int, np.ndarray], starts: np.ndarray) -> list[tuple[int, int, float]]:
     """(first position, last position, share) of places that hold most of the item's distinct words."""
     terms = np.unique(words)
     need = math.ceil(SHARE * len(terms))
-    have = sorted((lists[t] for t in terms.tolist() if len(lists.get(t, ()))), key=len)
+    have = sorted((lists[t] for t in terms.tolist() if t in lists), key=len)
     if len(terms) < LEAST or len(have) < need:
         return []
     span = int(SPREAD * len(words))
     # ``need`` of the words cannot all be among the most frequent ``need - 1``.
     seeds = np.sort(np.concatenate(have[: len(have) - need + 1]))
-    every = np.concatenate(have)
+    apart = np.flatnonzero(np.diff(seeds) > 2 * span)
+    begin, end = seeds[np.r_[0, apart + 1]] - span + 1, seeds[np.r_[apart, len(seeds) - 1]] + span
+    near = [_around(x, begin, end) for x in have]
+    every = np.concatenate(near)
     order = np.argsort(every, kind="stable")
-    place, term = every[order], np.repeat(np.arange(len(have)), [len(x) for x in have])[order]
-    near = np.searchsorted(seeds, place - span) < np.searchsorted(seeds, place + span)
-    place, term = place[near], term[near]
+    place, term = every[order], np.repeat(np.arange(len(near)), [len(x) for x in near])[order]
     # A place ends with its text.
     ends = np.r_[starts[1:], np.iinfo(np.int64).max][np.searchsorted(starts, place, side="right") - 1]
     upto = np.searchsorted(place, np.minimum(place + span, ends))
+    some = np.flatnonzero(upto - np.arange(len(place)) >= need)
+    if not len(some):
+        return []
+    # A place counts a word where the word was not yet met since that place.
+    by = np.argsort(term, kind="stable")
+    before = np.full(len(term), -1)
+    again = np.flatnonzero(term[by][1:] == term[by][:-1])
+    before[by[again + 1]] = by[again]
+    width = int((upto[some] - some).max())
     out: list[list] = []
-    for i in np.flatnonzero(upto - np.arange(len(place)) >= need).tolist():
-        share = len(set(term[i : upto[i]].tolist()))
-        if share >= need:
+    for cut in range(0, len(some), max(1, CELLS // width)):
+        own = some[cut : cut + max(1, CELLS // width)]
+        cell = own[:, None] + np.arange(width)
+        shares = ((before[np.minimum(cell, len(place) - 1)] < own[:, None]) & (cell < upto[own][:, None])).sum(1)
+        for i, share in zip(own[shares >= need].tolist(), shares[shares >= need].tolist(), strict=True):
             first, last = int(place[i]), int(place[upto[i] - 1])
             if out and first <= out[-1][1]:
                 out[-1] = [out[-1][0], last, max(out[-1][2], share)]
@@ -224,8 +261,11 @@ def _search(items: list[tuple[object, np.ndarray]], id_type: pa.DataType, item_t
     return run
 
 
-def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, h1, h2, item, kind, position, n_words, share) of all matches; positions are in words of the text, from 0."""
+def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", item_text: str = "text", least: int = 1) -> DataFrame:
+    """(id, h1, h2, item, kind, position, n_words, share) of all matches of items of at least so many words.
+
+    Positions are in words of the text, from 0.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     tests = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
@@ -238,7 +278,7 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", item_t
     for k in range(passes):
         rows = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect()
         words = [(r.item, Batch([r.text]).words()[2]) for r in rows]
-        words = [(item, w) for item, w in words if len(w) >= LEAST]
+        words = [(item, w) for item, w in words if len(w) >= least]
         wanted = np.unique(np.concatenate([w for _, w in words])) if words else np.zeros(0, np.uint64)
         chosen = index.mapInArrow(_select(wanted), index.schema)
         results.append(chosen.groupBy("shard").applyInArrow(_search(words, *kinds), columns))
@@ -250,16 +290,18 @@ def search(index: DataFrame, items: DataFrame, item_col: str = "item_id", item_t
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, kind, position, n_words, share) of every match of a test item in a text."""
-    found = search(build_index(docs, id_col, text_col), items, item_col, item_text)
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "kind", "position", "n_words", "share")
+    with scratch.within(docs.sparkSession) as kept:
+        kept.append(scratch.materialize(search(build_index(docs, id_col, text_col), items, item_col, item_text), "matches"))
+    return kept[0].select(F.col("id").alias(id_col), F.col("item").alias(item_col), "kind", "position", "n_words", "share")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents in which no test item is found, in their own columns."""
-    bad = search(build_index(docs, id_col, text_col), items, item_col, item_text).select("h1", "h2").distinct()
-    fresh = iter(name for i in range(10_000) if (name := f"_dc{i}") not in docs.columns)
-    h1, h2, b1, b2 = (next(fresh) for _ in range(4))
+    """The documents in which no test item of ``LEAST`` words is found, in their own columns."""
+    h1, h2, b1, b2 = fresh(docs.columns, 4)
+    with scratch.within(docs.sparkSession) as kept:
+        bad = search(build_index(docs, id_col, text_col), items, item_col, item_text, LEAST).select("h1", "h2").distinct()
+        kept.append(scratch.materialize(bad.toDF(b1, b2), "contaminated"))
+    bad = kept[0]
     hashes = row_hashes(id_col, text_col)
     named = docs.select("*", hashes[0].alias(h1), hashes[1].alias(h2))
-    bad = scratch.materialize(bad.toDF(b1, b2), "contaminated")
-    return named.join(bad, (F.col(h1) == F.col(b1)) & (F.col(h2) == F.col(b2)), "left_anti").select(*docs.columns)
+    return named.join(bad, (F.col(h1) == F.col(b1)) & (F.col(h2) == F.col(b2)), "left_anti").select(*[quoted(c) for c in docs.columns])
