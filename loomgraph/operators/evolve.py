@@ -89,34 +89,50 @@ class Summary:
     feature_edges_relinked: int = 0
 
 
-def process_diff(graph: CodeGraph, changes: DataFrame, encode: Callable[[DataFrame], DataFrame], link: Callable[[CodeGraph], DataFrame] | None = None) -> tuple[CodeGraph, Summary]:
+def process_diff(
+    graph: CodeGraph,
+    changes: DataFrame,
+    encode: Callable[[DataFrame], DataFrame],
+    link: Callable[[CodeGraph], DataFrame] | None = None,
+    stale: Callable[[CodeGraph], DataFrame] | None = None,
+    also_gone: DataFrame | None = None,
+) -> tuple[CodeGraph, Summary]:
     """Apply (path, change): delete, add again what was added or modified, then repair edges and centroids.
 
-    ``encode`` gives the nodes of files (path), numbered by ``node_seq``; ``link`` gives the edges (src, dst, edge_type) that a
-    graph without them should have. Each phase is written to the shared folder.
+    ``encode`` gives the nodes of files (path), numbered by ``node_seq``; ``stale`` the edges (edge_seq) that are to be linked anew,
+    and ``link`` the edges (src, dst, edge_type, and metadata if any) to link; ``also_gone`` are further nodes (node_id) that
+    go with the files. Each phase is written to the shared folder.
     """
-    def settle(g: CodeGraph) -> CodeGraph:
-        return CodeGraph(scratch.materialize(g.nodes, "nodes"), scratch.materialize(g.edges, "edges"))
-
-    gone = changes.where("change IN ('deleted', 'modified')").select("path")
-    fresh = changes.where("change IN ('added', 'modified')").select("path")
-    n_nodes, n_edges = graph.nodes.count(), graph.edges.count()
-    kept = settle(deleted_files(graph, gone))
-    removed, cut = n_nodes - kept.nodes.count(), n_edges - kept.edges.count()
-    grown = settle(kept.add_nodes(encode(fresh)))
-    changed = grown.nodes.join(kept.nodes.select("node_id"), "node_id", "left_anti").select("node_id")
-    repaired = settle(invalidate_centroids(invalidate_feature_edges(grown, changed), changed))
-
-    def add(g: CodeGraph, rows: DataFrame) -> tuple[CodeGraph, int]:
-        rows = rows.join(g.edges.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")
-        last = g.edges.agg(F.coalesce(F.max("edge_seq"), F.lit(-1)).alias("_last"))
-        seq = number(rows, "_turn", ["edge_type", "src", "dst"]).crossJoin(F.broadcast(last)).withColumn("edge_seq", F.col("_last") + F.col("_turn"))
-        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in g.edges.schema if f.name not in ("edge_seq", "src", "dst", "edge_type")]
-        out = settle(g.add_edges(seq.select("edge_seq", "src", "dst", "edge_type", *missing).select(*g.edges.columns)))
-        return out, out.edges.count() - g.edges.count()
-
-    linked, n_linked = add(repaired, link(repaired)) if link else (repaired, 0)
-    related, n_related = add(linked, relink_features(linked, changed))
-    by = {r.change: r.n for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
-    return related, Summary(by.get("added", 0), by.get("deleted", 0), by.get("modified", 0), changed.count(), removed, cut, n_linked, n_related)
-
+    spark = graph.nodes.sparkSession
+    with scratch.within(spark) as result:
+
+        def settle(g: CodeGraph) -> CodeGraph:
+            return CodeGraph(scratch.materialize(g.nodes, "nodes"), scratch.materialize(g.edges, "edges"))
+
+        gone = changes.where("change IN ('deleted', 'modified')").select("path")
+        fresh = changes.where("change IN ('added', 'modified')").select("path")
+        n_nodes, n_edges = graph.nodes.count(), graph.edges.count()
+        left = deleted_files(graph, gone)
+        kept = settle(left if also_gone is None else left.remove_nodes(also_gone))
+        removed = n_nodes - kept.nodes.count()
+        grown = settle(kept.add_nodes(encode(fresh)))
+        changed = grown.nodes.join(kept.nodes.select("node_id"), "node_id", "left_anti").select("node_id")
+        repaired = invalidate_centroids(invalidate_feature_edges(grown, changed), changed)
+        if stale:
+            repaired = CodeGraph(repaired.nodes, repaired.edges.join(stale(grown), "edge_seq", "left_anti").select(*grown.edges.columns))
+        repaired = settle(repaired)
+        cut = n_edges - repaired.edges.count()
+
+        def add(g: CodeGraph, rows: DataFrame) -> tuple[CodeGraph, int]:
+            rows = rows.join(g.edges.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")
+            last = g.edges.agg(F.coalesce(F.max("edge_seq"), F.lit(-1)).alias("_last"))
+            seq = number(rows, "_turn", ["edge_type", "src", "dst"]).crossJoin(F.broadcast(last)).withColumn("edge_seq", F.col("_last") + F.col("_turn"))  # one row
+            missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in g.edges.schema if f.name not in ("edge_seq", *rows.columns)]
+            out = settle(g.add_edges(seq.select("*", *missing).select(*g.edges.columns)))
+            return out, out.edges.count() - g.edges.count()
+
+        linked, n_linked = add(repaired, link(repaired)) if link else (repaired, 0)
+        related, n_related = add(linked, relink_features(linked, changed))
+        result += [related.nodes, related.edges]
+        by = {r.change: r.n for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}  # three rows at most
+        return related, Summary(by.get("added", 0), by.get("deleted", 0), by.get("modified", 0), changed.count(), removed, cut, n_linked, n_related)

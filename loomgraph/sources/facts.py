@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import CodeGraph, number
@@ -51,6 +51,16 @@ def parse_files(files: DataFrame, parser: Parser = languages.parse) -> DataFrame
     return files.select("path", "language", "content").mapInPandas(run, SCHEMA)
 
 
+BINDINGS = "array<struct<line:int,symbol:string,source_lang:string,target_lang:string,kind:string>>"
+FACTS = f"{SCHEMA}, bindings {BINDINGS}"
+
+
+def fact_rows(files: DataFrame, parser: Parser = languages.parse) -> DataFrame:
+    """``parse_files`` with the foreign-function bindings of each file as a further list."""
+    found = ffi.detect_all(files).groupBy("path").agg(F.collect_list(F.struct(F.col("line").cast("int").alias("line"), "symbol", "source_lang", "target_lang", "kind")).alias("bindings"))
+    return parse_files(files, parser).join(found, "path", "left").withColumn("bindings", F.coalesce("bindings", F.array().cast(BINDINGS)))
+
+
 @dataclass(frozen=True)
 class Encoded:
     graph: CodeGraph
@@ -74,12 +84,19 @@ def encode(files: DataFrame, root: str = "root", parser: Parser = languages.pars
     The order of nodes is that of building: repository, then for each file its directory (if new), itself, its
     definitions and imports; link passes follow, and number their edges after those of containment.
     """
-    parsed = scratch.materialize(parse_files(files, parser), "parsed")
+    parsed = scratch.materialize(fact_rows(files, parser), "parsed")
     good = parsed.where("error IS NULL")
-    definitions, imports = explode(good, "definitions"), explode(good, "imports")
-    calls, type_refs = explode(good, "calls"), explode(good, "type_refs")
-    bindings = ffi.detect_all(files)
+    nodes = scratch.materialize(node_rows(parsed, root), "numbered")
+    edges = number(link.link_all([contained(nodes), *link_passes(nodes, good)]), "edge_seq", ["phase", "turn", "src", "dst"])
+    graph = CodeGraph(shown(nodes), scratch.materialize(edges.select("edge_seq", "src", "dst", "edge_type", "metadata"), "linked"))
+    failed = parsed.where("error IS NOT NULL").select("path", "error", F.col("error_line").alias("line"), F.col("error_column").alias("column"), "category")
+    return Encoded(graph, failed, good.count(), failed.count())
 
+
+def node_rows(parsed: DataFrame, root: str = "root") -> DataFrame:
+    """The nodes of files, in order and numbered from 0; those of bindings name their file and target in their metadata."""
+    good = parsed.where("error IS NULL")
+    definitions, imports, bindings = explode(good, "definitions"), explode(good, "imports"), explode(parsed, "bindings")
     location = lambda a, b, c, d: F.struct(F.col("path").alias("file"), *[F.col(x).cast("int").alias(n) if isinstance(x, str) else x.cast("int").alias(n) for x, n in zip((a, b, c, d), ("start_line", "start_column", "end_line", "end_column"), strict=True)])
     base = good.select("path", "language", F.lit(0).cast("bigint").alias("seq"))
     placed = link.file_nodes(base.withColumn("seq", F.xxhash64("path")), root).drop("seq")
@@ -94,32 +111,68 @@ def encode(files: DataFrame, root: str = "root", parser: Parser = languages.pars
     brought = imports.select(F.col("path").alias("_file"), F.lit(4).alias("rank"), "at", F.lit("import").alias("category"), F.lit("import").alias("kind"), "language", F.col("module_path").alias("name"), "path", location("line", "column", "line", "column").alias("location"), "metadata", text.alias("signature"), text.alias("documentation"), "imported_names")
     bound = bindings.select(F.lit("\U0010ffff").alias("_file"), F.lit(5).alias("rank"), F.col("line").alias("at"), F.lit("feature").alias("category"), F.lit("ffi_binding").alias("kind"), F.col("source_lang").alias("language"), F.col("symbol").alias("name"), text.alias("path"), loc.alias("location"), F.create_map(F.lit("file"), F.col("path"), F.lit("target"), F.col("target_lang"), F.lit("kind"), F.col("kind")).alias("metadata"), text.alias("signature"), text.alias("documentation"), F.array().cast("array<string>").alias("imported_names"))
     rows = structural.unionByName(defined).unionByName(brought).unionByName(bound)
-    numbered = number(rows, "node_seq", ["_file", "rank", "at", "name"]).withColumn("node_seq", F.col("node_seq") - 1).withColumn("node_id", F.col("node_seq"))
-    nodes = scratch.materialize(numbered, "numbered")
+    return number(rows, "node_seq", ["_file", "rank", "at", "name"]).withColumn("node_seq", F.col("node_seq") - 1).withColumn("node_id", F.col("node_seq"))
+
+
+def shown(nodes: DataFrame) -> DataFrame:
+    """The graph's columns of node rows."""
+    none = F.lit(None)
+    text = none.cast("string")
+    return nodes.withColumn("metadata", F.when(F.col("rank") != 5, F.col("metadata"))).select("node_id", "node_seq", "category", "kind", "language", "name", "path", "location", "metadata", text.alias("description"), F.array().cast("array<string>").alias("features"), text.alias("feature_path"), "signature", none.cast("struct<start_line:int,end_line:int>").alias("source_ref"), text.alias("semantic_feature"), F.lit("low").alias("node_level"), "documentation")
+
 
-    files_ = nodes.where("category = 'file'").select("path", "node_id")
-    defs = nodes.where("rank = 3").select("path", "name", "node_id", "node_seq", "kind")
-    imps = nodes.where("rank = 4").select("path", F.col("name").alias("module_path"), "imported_names", "node_id", F.col("node_seq").alias("seq"))
-    ffis = nodes.where("rank = 5").select(F.col("metadata")["file"].alias("path"), "node_id", F.col("name").alias("symbol"), F.col("language").alias("source_lang"), F.col("metadata")["target"].alias("target_lang"), F.col("metadata")["kind"].alias("kind"), text.alias("native_signature"))
+def parent_of(path: str) -> Column:
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def contained(nodes: DataFrame) -> DataFrame:
+    """(src, dst, edge_type, seq): directories contain their files, and these what has their path."""
+    files = nodes.where("category = 'file'").select("path", F.col("node_id").alias("src"))
     folders = nodes.where("category = 'directory'").select(F.col("path").alias("_p"), F.col("node_id").alias("src"))
-    inside = files_.join(folders, F.regexp_extract("path", r"^(.*)/[^/]*$", 1) == F.col("_p")).select("src", F.col("node_id").alias("dst"))
-    members = nodes.where("rank IN (3, 4)").select("path", F.col("node_id").alias("dst")).join(files_, "path").select(F.col("node_id").alias("src"), "dst")
-    contains = inside.unionByName(members).withColumn("edge_type", F.lit("contains")).withColumn("seq", F.col("dst"))
-    order = lambda df: df.withColumn("seq", F.xxhash64("path", "at"))
+    inside = files.select("path", F.col("src").alias("dst")).join(folders, parent_of("path") == F.col("_p")).select("src", "dst")
+    members = nodes.where("category NOT IN ('file', 'directory', 'repository') AND path IS NOT NULL").select("path", F.col("node_id").alias("dst")).join(files, "path").select("src", "dst")
+    return inside.unionByName(members).withColumn("edge_type", F.lit("contains")).withColumn("seq", F.col("dst"))
+
+
+def link_passes(nodes: DataFrame, parsed: DataFrame, fresh: DataFrame | None = None, names: DataFrame | None = None) -> list[DataFrame]:
+    """The edges of imports, calls, type references, implementations, bases and bindings.
+
+    ``nodes`` are all of a graph, ``parsed`` the facts of all its files. With ``fresh`` (path) and ``names`` (name) only facts are
+    linked that are of these files or name one of these names; what they are linked to may be anywhere.
+    """
+
+    def chosen(df: DataFrame, name: Column) -> DataFrame:
+        if fresh is None or names is None:
+            return df
+        named = df.withColumn("_key", name)
+        own = named.join(fresh.select("path").distinct(), "path", "left_semi")
+        other = named.join(fresh.select("path").distinct(), "path", "left_anti").join(names.select(F.col("name").alias("_key")).distinct(), "_key", "left_semi")
+        return own.select(*df.columns).unionByName(other.select(*df.columns))
+
+    files = nodes.where("category = 'file'").select("path", "node_id")
+    symbols = nodes.where("category NOT IN ('repository', 'directory', 'file', 'import', 'feature') AND path IS NOT NULL").select("path", "name", "node_id", "node_seq", "kind")
     types = nodes.where("category = 'type'").select("name", "path", "node_seq")
-    called = link.link_calls(order(calls), defs, imps, files_, types)
+    brought = explode(parsed, "imports").select("path", "module_path", "imported_names")
+    import_nodes = chosen(nodes.where("category = 'import'").select("path", F.col("name").alias("module_path"), "node_id", F.col("node_seq").alias("seq")), link.last_segment(F.col("module_path")))
+    order = lambda df: df.withColumn("seq", F.xxhash64("path", "at"))
+    called = link.link_calls(order(chosen(explode(parsed, "calls"), F.col("callee"))), symbols, brought, files, types)
     call_meta = F.map_filter(F.create_map(F.lit("receiver"), F.col("receiver"), F.lit("call_kind"), F.col("call_kind")), lambda k, v: v.isNotNull())
-    passes = [
-        contains,
-        link.link_imports(imps, defs),
+    used = link.link_type_refs(order(chosen(explode(parsed, "type_refs"), F.col("type_name"))), symbols, brought, files)
+    bound = nodes.where("kind = 'ffi_binding' AND metadata IS NOT NULL").select(F.col("metadata")["file"].alias("path"), "node_id", F.col("name").alias("symbol"), F.col("language").alias("source_lang"), F.col("metadata")["target"].alias("target_lang"), F.col("metadata")["kind"].alias("kind"), F.lit(None).cast("string").alias("native_signature"))
+    home = nodes.select(F.col("node_id").alias("src"), "path")
+
+    def of_nodes(edges: DataFrame) -> DataFrame:
+        """Implementations and bases of the chosen files or with ends of the chosen names."""
+        if fresh is None or names is None:
+            return edges
+        ends = nodes.select(F.col("node_id").alias("dst"), F.col("name").alias("_end"))
+        return chosen(edges.join(home, "src", "left").join(ends, "dst"), F.col("_end")).select(*edges.columns)
+
+    return [
+        link.link_imports(import_nodes, symbols),
         called.withColumn("metadata", call_meta),
-        link.link_type_refs(order(type_refs), defs, imps, files_).withColumn("metadata", F.create_map(F.lit("ref_kind"), F.col("ref_kind"))),
-        link.link_impls(nodes),
-        link.link_extends(nodes),
-        link.link_ffi(ffis, files_)[1],
+        used.withColumn("metadata", F.create_map(F.lit("ref_kind"), F.col("ref_kind"))),
+        of_nodes(link.link_impls(nodes)),
+        of_nodes(link.link_extends(nodes)),
+        link.link_ffi(bound, files)[1],
     ]
-    edges = number(link.link_all(passes), "edge_seq", ["phase", "turn", "src", "dst"])
-    shown = nodes.withColumn("metadata", F.when(F.col("rank") != 5, F.col("metadata"))).select("node_id", "node_seq", "category", "kind", "language", "name", "path", "location", "metadata", text.alias("description"), F.array().cast("array<string>").alias("features"), text.alias("feature_path"), "signature", none.cast("struct<start_line:int,end_line:int>").alias("source_ref"), text.alias("semantic_feature"), F.lit("low").alias("node_level"), "documentation")
-    graph = CodeGraph(shown, scratch.materialize(edges.select("edge_seq", "src", "dst", "edge_type", "metadata"), "linked"))
-    failed = parsed.where("error IS NOT NULL").select("path", "error", F.col("error_line").alias("line"), F.col("error_column").alias("column"), "category")
-    return Encoded(graph, failed, good.count(), failed.count())

@@ -1,8 +1,9 @@
 """The versioned store: base tables, an ordered change log, and their replay.
 
 A store is a folder. ``base/<n>/nodes`` and ``base/<n>/edges`` are full tables, ``patches/<n>`` the changes since base n, partitioned by
-``seq``; ``CURRENT`` names n and is replaced last, so readers see one whole version or the other. A patch is rows (op, path, node, edge): deletions come
-before removals, and these before additions.
+``seq``; ``CURRENT`` names n and is replaced last, by one rename, so readers see one whole version or the other. It also holds the last batch that was
+applied. A patch is rows (op, path, node, edge): deletions come before removals, and these before additions. ``facts/<n>`` has the facts that files were
+last parsed to, by batch, from which edges are linked again.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import CodeGraph, with_both_ends
 from loomgraph.schema import EDGES, NODES
+from loomgraph.sources.facts import FACTS
 
 VERSION = 1
-PATCH = f"op string, path string, node struct<{', '.join(c.strip().replace(' ', ':', 1) for c in NODES.split(', '))}>, edge struct<edge_seq:bigint,src:bigint,dst:bigint,edge_type:string,metadata:map<string,string>>"
+_COLUMNS = [c.strip().split(" ", 1) for c in NODES.split(", ")]
+PATCH_TYPES = {"path": "string", "node": f"struct<{','.join(f'{name}:{kind}' for name, kind in _COLUMNS)}>", "edge": "struct<edge_seq:bigint,src:bigint,dst:bigint,edge_type:string,metadata:map<string,string>>"}
+PATCH = "op string, " + ", ".join(f"{name} {kind}" for name, kind in PATCH_TYPES.items())
 OPS = ("delete_file", "remove_node", "remove_edge", "add_node", "add_edge", "set_hash")
 
 
@@ -34,6 +38,8 @@ class Manifest:
     version: int = VERSION
     base: int = 0
     patches: tuple[int, ...] = ()
+    #: The last micro-batch that was applied; -1 before the first.
+    batch: int = -1
 
 
 class Store:
@@ -60,28 +66,32 @@ class Store:
         stream = fs.create(new, True)
         stream.write(bytearray(json.dumps(asdict(manifest)).encode()))
         stream.close()
-        target = self._fs("CURRENT")[1]
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(new, target)
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        overwrite = gateway.new_array(rename, 1)
+        overwrite[0] = rename.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(new, self._fs("CURRENT")[1], overwrite)
 
     def manifest(self) -> Manifest:
-        name = "CURRENT" if self.exists("CURRENT") else "CURRENT.new"
-        if not self.exists(name):
+        if not self.exists("CURRENT"):
             raise FileNotFoundError(f"no store in {self.folder}")
-        raw = json.loads(self.spark.read.text(f"{self.folder}/{name}", wholetext=True).first().value)
+        raw = json.loads(self.spark.read.text(f"{self.folder}/CURRENT", wholetext=True).first().value)
         if raw["version"] != VERSION:
             raise ValueError(f"store version {raw['version']} is not {VERSION}")
-        return Manifest(raw["version"], raw["base"], tuple(raw["patches"]))
+        return Manifest(raw["version"], raw["base"], tuple(raw["patches"]), raw.get("batch", -1))
 
     # Base
 
-    def save_base(self, graph: CodeGraph) -> Manifest:
-        """Write a new base and point to it; the patches of the old one end with it."""
-        base = self.manifest().base + 1 if self.exists("CURRENT") else 1
+    def save_base(self, graph: CodeGraph, facts: DataFrame | None = None) -> Manifest:
+        """Write a new base, with the facts of its files if they are given, and point to it; the patches of the old one end with it."""
+        old = self.manifest() if self.exists("CURRENT") else Manifest()
+        base = old.base + 1
         for name, df in (("nodes", graph.nodes), ("edges", graph.edges)):
             df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/base/{base}/{name}")
-        manifest = Manifest(base=base)
+        if facts is not None:
+            self.write_facts(facts, old.batch, base)
+        manifest = Manifest(base=base, batch=old.batch)
         self._write_manifest(manifest)
         return manifest
 
@@ -89,16 +99,34 @@ class Store:
         base = self.manifest().base
         return CodeGraph(*(self.spark.read.parquet(f"{self.folder}/base/{base}/{name}") for name in ("nodes", "edges")))
 
+    # Facts
+
+    def write_facts(self, facts: DataFrame, batch: int, base: int | None = None) -> None:
+        """The facts of the files of a batch; written again they replace themselves, and they count once the batch does."""
+        full = facts if "deleted" in facts.columns else facts.withColumn("deleted", F.lit(False))
+        full.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/facts/{self.manifest().base if base is None else base}/batch={batch}")
+
+    def facts(self) -> DataFrame:
+        """The facts of every file of the store, as last parsed; none if the base was saved without any."""
+        manifest = self.manifest()
+        folder = f"{self.folder}/facts/{manifest.base}"
+        kept = f"{FACTS}, deleted boolean"
+        if not self.exists(f"facts/{manifest.base}"):
+            return self.spark.createDataFrame([], kept).drop("deleted")
+        every = self.spark.read.schema(f"{kept}, batch bigint").option("basePath", folder).parquet(folder).where(F.col("batch") <= manifest.batch)
+        last = every.groupBy("path").agg(F.max("batch").alias("batch"))
+        return every.join(last, ["path", "batch"], "left_semi").where("NOT deleted").drop("batch", "deleted")
+
     # Patches
 
     def next_seq(self) -> int:
         return max(self.manifest().patches, default=0) + 1
 
-    def write_patch(self, changes: DataFrame) -> int:
-        """Append changes (op, path, node, edge) as the next patch."""
+    def write_patch(self, changes: DataFrame, batch: int | None = None) -> int:
+        """Append changes (op, path, node, edge) as the next patch; with ``batch`` that is applied by the same act."""
         manifest, seq = self.manifest(), self.next_seq()
         changes.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/patches/{manifest.base}/seq={seq}")
-        self._write_manifest(Manifest(base=manifest.base, patches=(*manifest.patches, seq)))
+        self._write_manifest(Manifest(base=manifest.base, patches=(*manifest.patches, seq), batch=manifest.batch if batch is None else batch))
         return seq
 
     def patches(self) -> DataFrame:
@@ -127,13 +155,35 @@ class Store:
     def compact(self) -> Manifest:
         """A new base of base and patches; the old ones are deleted once it is current."""
         old = self.manifest()
-        new = self.save_base(self.load())
-        for name in (f"base/{old.base}", f"patches/{old.base}"):
+        new = self.save_base(self.load(), self.facts() if self.exists(f"facts/{old.base}") else None)
+        for name in (f"base/{old.base}", f"patches/{old.base}", f"facts/{old.base}"):
             fs, path = self._fs(name)
             fs.delete(path, True)
         return new
 
 
+def changes_between(old: CodeGraph, new: CodeGraph) -> DataFrame:
+    """The patch (op, path, node, edge) that leads from one graph to another of the same ids."""
+    columns = [name for name, _ in _COLUMNS if name in new.nodes.columns]
+    none = lambda field: F.lit(None).cast(PATCH_TYPES[field]).alias(field)
+    full = lambda graph: graph.nodes.select(*columns, F.xxhash64(F.to_json(F.struct(*columns))).alias("_mark"))
+    own = F.struct(*[F.col(c) if c in columns else F.lit(None).alias(c) for c, _ in _COLUMNS]).cast(PATCH_TYPES["node"]).alias("node")
+    before, after = full(old), full(new)
+    same = before.select("node_id", "_mark")
+    put = after.join(same, ["node_id", "_mark"], "left_anti").select(F.lit("add_node").alias("op"), none("path"), own, none("edge"))
+    gone = before.join(after.select("node_id"), "node_id", "left_anti").select(F.lit("remove_node").alias("op"), none("path"), own, none("edge"))
+    key = ["src", "dst", "edge_type"]
+    edge = F.struct("edge_seq", *key, "metadata").cast(PATCH_TYPES["edge"]).alias("edge")
+    # Numbers of removed edges are given again, so an edge is the same only in all it has.
+    marked = lambda graph: graph.edges.withColumn("_mark", F.xxhash64("edge_seq", *key, F.to_json("metadata")))
+    first, last = marked(old), marked(new)
+    lost = first.join(last.select("_mark"), "_mark", "left_anti").select(*key).distinct()
+    # A removal takes all edges of its ends and type, so those that stay are put again.
+    again = last.join(lost, key, "left_semi").unionByName(last.join(first.select("_mark"), "_mark", "left_anti")).dropDuplicates(["edge_seq"])
+    cut = lost.withColumns({"edge_seq": F.lit(None).cast("bigint"), "metadata": F.lit(None).cast("map<string,string>")}).select(F.lit("remove_edge").alias("op"), none("path"), none("node"), edge)
+    return put.unionAll(gone).unionAll(cut).unionAll(again.select(F.lit("add_edge").alias("op"), none("path"), none("node"), edge))
+
+
 def replay(base: CodeGraph, patches: DataFrame) -> CodeGraph:
     """Apply all patches at once: what a key's last addition and last deletion are decides.
 

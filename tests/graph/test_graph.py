@@ -194,9 +194,16 @@ def test_store_replays_what_was_done(spark, tmp_path):
         store.Store(spark, f"file://{tmp_path}/none").load()
 
 
+def shape(graph):
+    """A graph without its numbers: nodes and edges by path, name and kind."""
+    key = {r.node_id: (r.path, r.category, r.name, r.kind) for r in graph.nodes.collect()}
+    return sorted(map(str, key.values())), sorted(str((r.edge_type, key[r.src], key[r.dst], r.metadata)) for r in graph.edges.collect())
+
+
 def test_stream_evolves_the_store(spark, tmp_path):
-    s = store.Store(spark, f"file://{tmp_path}/store")
-    s.save_base(facts.encode(tree(spark, {k: v for k, v in SOURCES.items() if "broken" not in k})).graph)
+    s = store.Store(spark, f"file://{tmp_path}/store", store.Threshold(ratio=100))
+    tree_ = {k: v for k, v in SOURCES.items() if "broken" not in k}
+    watch.start(s, tree(spark, tree_))
     changes = [("src/util.rs", None, True, 1), ("src/new.rs", "pub fn added() {}\npub fn helper() {}\n", False, 2), ("py/app.py", "def other(): pass\n", False, 3), ("py/app.py", "def last(): pass\n", False, 4)]
     spark.createDataFrame(changes, f"{watch.FILES}, modified bigint").coalesce(1).write.json(f"{tmp_path}/changes")
     for _ in range(2):  # a second run finds nothing new
@@ -206,8 +213,37 @@ def test_stream_evolves_the_store(spark, tmp_path):
     assert {"added", "last", "new.rs", "main"} <= names and not names & {"Tool", "other", "helper2", "native_call_"}
     edges = named(graph)
     assert ("contains", "new.rs", "added") in edges and ("references", "crate::util::helper", "helper") in edges
-    assert s.manifest().base == 2
+    assert s.manifest().patches == (1,) and s.manifest().batch == 0
     assert watch.apply_batch(s, spark.createDataFrame([], f"{watch.FILES}, modified bigint"), 0) is None
+    want = {"src/new.rs": changes[1][1], "py/app.py": changes[3][1]} | {k: v for k, v in tree_.items() if k not in ("src/util.rs", "py/app.py")}
+    assert shape(graph) == shape(facts.encode(tree(spark, want)).graph)
+
+
+TREE = {
+    "src/a.rs": "use crate::b::Tool;\npub struct Own;\nimpl Run for Own { fn go(&self) {} }\npub fn first(t: Tool) -> Own { helper(); Tool::make(); second() }\n",
+    "src/b.rs": "pub struct Tool;\npub trait Run {}\nimpl Tool { pub fn make() {} }\npub fn helper() {}\nextern \"C\" {\n    fn native(a: i32);\n}\n",
+    "src/c.rs": "pub fn second() { first(); }\n",
+    "py/base.py": "class Base:\n    pass\n",
+    "py/child.py": "from base import Base\nclass Child(Base):\n    def run(self, b: Base):\n        return work()\n",
+}
+
+
+def test_an_evolved_graph_is_that_of_the_new_tree(spark, tmp_path):
+    steps = [
+        {"src/b.rs": "// a comment\n" + TREE["src/b.rs"], "py/base.py": "class Base:\n    x = 1\n\ndef work():\n    return 1\n", "src/e.rs": "fn x() { first(); Tool::make(); }\n"},
+        {"py/base.py": None, "py/child.py": None, "lib/d.rs": "pub fn helper() {}\npub fn work() {}\n", "src/c.rs": "pub fn second() {}\npub struct Tool;\n", "src/b.rs": TREE["src/b.rs"].replace("helper", "other")},
+        {"src/a.rs": "fn (", "py/child.py": "def broken(:\n", "src/b.rs": None},
+    ]
+    s = store.Store(spark, f"file://{tmp_path}/store", store.Threshold(patches=2, ratio=100))
+    watch.start(s, tree(spark, TREE))
+    now = dict(TREE)
+    for n, edits in enumerate(steps):
+        batch = spark.createDataFrame([(p, t, t is None) for p, t in edits.items()], watch.FILES)
+        watch.apply_batch(s, batch, n)
+        now = {p: t for p, t in (now | edits).items() if t is not None}
+        assert shape(s.load()) == shape(facts.encode(tree(spark, now)).graph)
+        assert s.manifest().batch == n and watch.apply_batch(s, batch, n) is None
+    assert s.manifest().base == 2 and s.manifest().patches == (1,)  # two patches were compacted
 
 
 def test_enrichment(spark):
