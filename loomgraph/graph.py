@@ -44,6 +44,14 @@ class CodeGraph:
         """(keys, node_id, matches): for every key the first node, and how many have the key; null keys have none."""
         return self.nodes.dropna(subset=list(keys)).groupBy(*keys).agg(F.min_by("node_id", "node_seq").alias("node_id"), F.count("*").alias("matches"))
 
+    def find_by_location(self, path: str, line: int) -> DataFrame:
+        """The first node of a file that begins on a line."""
+        return self.find(**{"path": path, "location.start_line": line})
+
+    def first_by_location(self) -> DataFrame:
+        """(path, line, node_id, matches): for every file and line that a node begins on, the first, and how many there are."""
+        return CodeGraph(self.nodes.withColumn("line", F.col("location.start_line")), self.edges).first_by("path", "line")
+
     def nodes_for_file(self, path: str) -> DataFrame:
         return self.nodes.where(F.col("path") == path)
 

@@ -1,4 +1,4 @@
-"""Descriptions of nodes by a language model, through a client that the caller injects.
+"""Descriptions of nodes by a language model, over HTTP or through a client that the caller injects.
 
 A client is a function from a list of prompts to a list of answers, made on the worker by a factory; without one, a
 mock answers offline. Prompts go in batches; a batch's answers are parsed at once.
@@ -7,7 +7,11 @@ mock answers offline. Prompts go in batches; a batch's answers are parsed at onc
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -17,6 +21,8 @@ from pyspark.sql import functions as F
 from loomgraph.functions.case import organize_by_path
 
 Client = Callable[[list[str]], list[str]]
+#: Requests for one prompt, seconds for each, and seconds between the first two.
+TRIES, TIMEOUT, PAUSE = 3, 60, 0.5
 
 
 @dataclass(frozen=True)
@@ -39,6 +45,39 @@ def mock_client() -> Client:
     return lambda prompts: [answer(p) for p in prompts]
 
 
+def http_client(config: Config, key: str = "", opener: Callable | None = None) -> Callable[[], Client]:
+    """A factory of clients of a chat service at ``base_url``: up to ``max_concurrent`` requests at once, each tried ``TRIES`` times.
+
+    A prompt whose request keeps failing has an empty answer, which gives no rows; an answer of status 4xx other than 429 is not tried again.
+    """
+    send = opener or urllib.request.urlopen
+
+    def ask(prompt: str) -> str:
+        body = {"model": config.model, "max_tokens": config.max_tokens, "temperature": config.temperature, "messages": [{"role": "user", "content": prompt}]}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        request = urllib.request.Request(config.base_url.rstrip("/") + "/chat/completions", json.dumps(body).encode(), headers)
+        for turn in range(TRIES):
+            try:
+                with send(request, timeout=TIMEOUT) as answer:
+                    return json.loads(answer.read())["choices"][0]["message"]["content"] or ""
+            except urllib.error.HTTPError as e:
+                if 400 <= e.code < 500 and e.code != 429:
+                    return ""
+            except (OSError, ValueError, KeyError, IndexError, TypeError):
+                pass
+            time.sleep(PAUSE * 2**turn)
+        return ""
+
+    def make() -> Client:
+        def client(prompts: list[str]) -> list[str]:
+            with ThreadPoolExecutor(max(1, config.max_concurrent)) as pool:
+                return list(pool.map(ask, prompts))
+
+        return client
+
+    return make
+
+
 def extract_json(content: str) -> str:
     """The JSON of an answer: a fenced block, else from the last line that opens a value to its balanced end, else all of it."""
     _, fence, rest = content.partition("```json\n")

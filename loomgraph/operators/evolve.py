@@ -58,16 +58,21 @@ def best_centroids(graph: CodeGraph, changed: DataFrame) -> DataFrame:
     """(node_id, centroid_id, score) for changed low-level nodes with a feature.
 
     A centroid scores as many words as its feature has, if any of them is part of the node's feature as text; the most
-    words win, the first among equals. Only distinct words are matched with distinct features, and those who
-    share them are joined by equality.
+    words win, the first among equals. A word has no white space, so it is part of one token of the feature: the substrings of
+    each distinct token, of the lengths that words have, are joined with the distinct words by equality.
     """
     centroids = graph.nodes.where("node_level = 'high' AND semantic_feature IS NOT NULL").select(F.col("node_id").alias("centroid_id"), F.col("node_seq").alias("_order"), F.filter(F.split(F.lower("semantic_feature"), r"(?U)\s+"), lambda w: w != "").alias("_words"))
     words = centroids.select("centroid_id", "_order", F.size("_words").alias("score"), F.explode(F.array_distinct("_words")).alias("_word"))
     features = graph.nodes.join(changed.select("node_id").distinct(), "node_id", "left_semi").where("node_level = 'low' AND semantic_feature IS NOT NULL").select("node_id", F.lower("semantic_feature").alias("_feature"))
-    met = features.select("_feature").distinct().join(words.select("_word").distinct(), F.contains(F.col("_feature"), F.col("_word")))
-    # Of the centroids that share a word only the best can win.
+    tokens = features.select("_feature").distinct().select("_feature", F.explode(F.array_distinct(F.filter(F.split("_feature", r"(?U)\s+"), lambda w: w != ""))).alias("_token"))
+    # One row: a number for each length that a word has.
+    lengths = words.agg(F.array_sort(F.collect_set(F.length("_word"))).alias("_lengths"))
+    cut = F.flatten(F.transform(F.filter("_lengths", lambda n: n <= F.length("_token")), lambda n: F.transform(F.sequence(F.lit(1), F.length("_token") - n + 1), lambda i: F.substring(F.col("_token"), i, n))))
+    parts = tokens.select("_token").distinct().crossJoin(F.broadcast(lengths)).select("_token", F.explode(F.array_distinct(cut)).alias("_word"))
+    # Of the centroids that share a word only the best can win, and so of the words of a token.
     best_of_word = words.groupBy("_word").agg(F.max(F.struct("score", -F.col("_order"), "centroid_id")).alias("_best"))
-    best_of_feature = met.join(best_of_word, "_word").groupBy("_feature").agg(F.max("_best").alias("_best"))
+    best_of_token = parts.join(best_of_word, "_word").groupBy("_token").agg(F.max("_best").alias("_best"))
+    best_of_feature = tokens.join(best_of_token, "_token").groupBy("_feature").agg(F.max("_best").alias("_best"))
     return features.join(best_of_feature, "_feature").select("node_id", F.col("_best.centroid_id").alias("centroid_id"), F.col("_best.score").alias("score"))
 
 

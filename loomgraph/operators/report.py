@@ -60,4 +60,5 @@ def reverse_dependencies(graph: CodeGraph) -> DataFrame:
 
 
 def dependents_of(graph: CodeGraph, node_id: int) -> DataFrame:
-    return reverse_dependencies(graph).where(F.col("node_id") == node_id)
+    """The row of one node; only its own edges are read into it."""
+    return reverse_dependencies(CodeGraph(graph.node(node_id), graph.edges.where(F.col("dst") == node_id)))

@@ -26,6 +26,25 @@ def similarity(a: Column, b: Column) -> Column:
     return jaccard(tokens(a), tokens(b))
 
 
+def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, score) of the pairs of (a, tokens) and (b, tokens) whose similarity is at least ``least``, above 0.
+
+    Two sets of that similarity share a token among the rarest of either: all but as many of its tokens as could be shared
+    without, so only these are joined, and frequent tokens meet where nothing rarer does. What meets is compared whole.
+    """
+    counts = left.select(F.explode("tokens").alias("token")).unionAll(right.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
+
+    def rare(side: DataFrame, key: str) -> DataFrame:
+        own = side.select(key, F.explode("tokens").alias("token")).join(counts, "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("sorted"))
+        # A little less than the bound, as scores are rounded to 32 bits.
+        keep = F.size("sorted") - F.ceil(F.size("sorted") * (least - 1e-6)).cast("int") + 1
+        return own.select(key, F.explode(F.slice("sorted", 1, keep)).alias("x")).select(key, F.col("x.token").alias("token"))
+
+    met = rare(left, "a").join(rare(right, "b"), "token").select("a", "b").distinct()
+    whole = met.join(left.select("a", F.col("tokens").alias("ta")), "a").join(right.select("b", F.col("tokens").alias("tb")), "b")
+    return whole.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") >= F.lit(least).cast("float"))
+
+
 def scored(nodes: DataFrame, query: str, fields: Sequence[str] = FIELDS) -> DataFrame:
     """The nodes with score and matched_field: the best field, the earlier among equals, "" if none scores."""
     wanted = sorted({t for t in query.lower().split()})

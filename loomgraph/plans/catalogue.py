@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import case
-from loomgraph.operators import diff, evolve, explore, fetch, link, report, search
+from loomgraph.operators import diff, enrich, evolve, explore, fetch, link, report, search
 from loomgraph.plans import canonical, scratch
 from loomgraph.plans.canonical import EDGES_SQL, FACTS_SQL, NODES_SQL, graph, table
 from loomgraph.schema import EDGES, NODES, category_of_kind, edge_view
@@ -232,6 +232,9 @@ on_graph("explore_filtered", None, lambda g: explore.explore(g, _starts(g, "cate
 SQL["explore_filtered"] = reach("category = 'type'", f"SELECT src AS here, dst AS there FROM edges WHERE {VIEW} = 'dependency'", 6, "category = 'type'")
 on_graph("explore_tree_edges", None, lambda g: explore.containment(g, _starts(g, "category = 'repository'")).edges.select("start", "src", "dst", "depth"))
 SQL["explore_tree_edges"] = f"{GRAPH}, r AS (SELECT node_id AS start, NULL::BIGINT AS src, node_id AS dst, 0 AS depth FROM nodes WHERE category = 'repository' UNION ALL SELECT r.start, e.src, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.dst AND edge_type = 'contains') SELECT start, src, dst, depth FROM r WHERE depth > 0"
+on_graph("explore_limited", None, lambda g: explore.explore(g, _starts(g, "category = 'repository'"), "outgoing", explore.Filter(edge_types=("contains",), limit=40)).nodes)
+SQL["explore_limited"] = f"""{GRAPH}, r AS (SELECT node_id AS start, node_id, 0 AS depth, [0::BIGINT] AS turn FROM nodes WHERE category = 'repository' UNION ALL SELECT r.start, e.dst, r.depth + 1, list_append(r.turn, -e.edge_seq) FROM r JOIN edges e ON e.src = r.node_id AND edge_type = 'contains')
+SELECT start, node_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, turn) AS place FROM r) WHERE place <= 40"""
 on_graph("explore_functional_area", "SELECT DISTINCT a.src AS start, b.src AS node_id FROM edges a JOIN edges b ON a.dst = b.dst AND b.edge_type = 'belongs_to_feature' WHERE a.edge_type = 'belongs_to_feature'", lambda g: explore.functional_area(g, _starts(g, "node_level = 'low'")))
 
 # Search
@@ -270,12 +273,8 @@ SELECT doc_id, item_id, round((len(list_intersect(d.t, b.t)) / (len(d.t) + len(b
 WHERE (len(list_intersect(d.t, b.t)) / (len(d.t) + len(b.t) - len(list_intersect(d.t, b.t))))::FLOAT >= 0.3::FLOAT""".format(TOKENS.format("text"), TOKENS.format("text")),
 )
 def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs that share no token cannot score, so they are found by an equality join of tokens."""
-    a = table(spark, d, "documents").select("doc_id", search.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("na"), F.explode("t").alias("token"))
-    b = table(spark, d, "benchmark").select("item_id", search.tokens(F.col("text")).alias("t")).select("item_id", F.size("t").alias("nb"), F.explode("t").alias("token"))
-    both = a.join(b, "token").groupBy("doc_id", "item_id", "na", "nb").agg(F.count("*").alias("n"))
-    score = (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).cast("float")
-    return _rounded(both.select("doc_id", "item_id", score.alias("score")).where(F.col("score") >= F.lit(0.3).cast("float")))
+    side = lambda name, key, to: table(spark, d, name).select(F.col(key).alias(to), search.tokens(F.col("text")).alias("tokens"))
+    return _rounded(search.similar_pairs(side("documents", "doc_id", "a"), side("benchmark", "item_id", "b"), 0.3)).withColumnsRenamed({"a": "doc_id", "b": "item_id"})
 
 
 # Service listings
@@ -434,9 +433,10 @@ for _language, (_program, _kind) in PROGRAMS.items():
     register(f"parse_{_language}", f"SELECT 'p/' || p_partkey AS path, '{_kind}' AS kind, replace(p_name, ' ', '_') AS name FROM part")(lambda spark, d, language=_language, program=_program: _definitions(spark, d, language, program))
 
 
-@register("line_count_units", "SELECT 'doc/' || doc_id AS path, source AS name, 'function' AS unit_type, 1 AS start_line, 2 AS end_line, sha256(array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10))) AS hash FROM documents")
+@register("line_count_units", "SELECT 'doc/' || doc_id AS path, source AS name, 'function' AS unit_type, 1 AS start_line, CAST(len(string_split(text, chr(10))) AS INTEGER) AS end_line, sha256(text) AS hash FROM documents")
 def line_count_units(spark: SparkSession, d: str) -> DataFrame:
-    definitions = table(spark, d, "documents").selectExpr("concat('doc/', doc_id) AS path", "source AS name", "'fn' AS kind", "named_struct('start_line', 1, 'end_line', 2) AS location")
+    """One unit a document, of all its lines."""
+    definitions = table(spark, d, "documents").selectExpr("concat('doc/', doc_id) AS path", "source AS name", "'fn' AS kind", "named_struct('start_line', 1, 'end_line', size(split(text, '\n'))) AS location")
     return diff.units(definitions, _old(spark, d))
 
 
@@ -446,13 +446,178 @@ register("node_index", "SELECT e.event_id AS node_id, 'u/' || e.user_id AS path,
 register("diagnostics", "SELECT 'p/' || p_partkey || ':' || p_size || ':' || 1 || ': error: ' || p_name AS line FROM part")(lambda spark, d: store.diagnostics(table(spark, d, "part").selectExpr("concat('p/', p_partkey) AS path", "p_size AS line", "1 AS column", "p_name AS error")))
 
 
-@register("stream_update", "SELECT 'n/' || n_nationkey || '.py' AS path, n_nationkey || '.py' AS name, 'file' AS category FROM nation UNION ALL SELECT 'n/' || n_nationkey || '.py', lower(n_name), 'variable' FROM nation")
+# A source tree of suppliers: the file of each defines a function that calls that of another
+
+
+NEXT = "7 * s_suppkey % (SELECT count(*) FROM supplier) + 1"
+STREAM_SQL = f"""WITH f AS (SELECT s_suppkey AS k, {NEXT} AS j, 'n' || s_nationkey AS folder FROM supplier), live AS (SELECT *, CASE WHEN k % 3 = 0 THEN 't' ELSE 's' END || k AS name FROM f WHERE k % 5 <> 0)
+SELECT 'contains' AS edge_type, folder AS source, k || '.py' AS target FROM live
+UNION ALL SELECT 'contains', k || '.py', name FROM live
+UNION ALL SELECT 'calls', a.k || '.py', b.name FROM live a JOIN live b ON a.j = b.k AND b.name = 's' || b.k"""
+
+
+def _supplier_files(spark: SparkSession, d: str) -> DataFrame:
+    counted = table(spark, d, "supplier").crossJoin(canonical._size(table(spark, d, "supplier"), "suppliers"))
+    return counted.selectExpr("s_suppkey AS k", "concat('n', s_nationkey, '/', s_suppkey, '.py') AS path", "7 * s_suppkey % suppliers + 1 AS j")
+
+
+def _named_edges(g: store.CodeGraph) -> DataFrame:
+    ends = lambda end, to: g.nodes.select(F.col("node_id").alias(end), F.col("name").alias(to))
+    return g.edges.join(ends("src", "source"), "src").join(ends("dst", "target"), "dst").select("edge_type", "source", "target")
+
+
+@register("stream_update", STREAM_SQL)
 def stream_update(spark: SparkSession, d: str) -> DataFrame:
-    """A stream of changed files evolves the graph of an empty store."""
+    """A stream adds all files to an empty store; then a third is modified to define another name, and a fifth deleted."""
     folder = scratch.scratch_path(spark, "stream")
     made = store.Store(spark, f"{folder}/store")
     made.save_base(store.CodeGraph(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)))
-    changes = table(spark, d, "nation").selectExpr("concat('n/', n_nationkey, '.py') AS path", "concat('def ', lower(n_name), '(): pass') AS content", "false AS deleted", "n_nationkey AS modified")
-    changes.write.json(f"{folder}/changes")
-    watch.watch(spark, f"{folder}/changes", made, f"{folder}/checkpoint", available_now=True).awaitTermination()
-    return made.load().nodes.where("category IN ('file', 'variable')").select("path", "name", "category")
+    files = _supplier_files(spark, d)
+    first = files.selectExpr("path", "concat('def s', k, '():\n    return s', j, '()\n') AS content", "false AS deleted", "1 AS modified")
+    then = files.where("k % 3 = 0 OR k % 5 = 0").selectExpr("path", "CASE WHEN k % 5 <> 0 THEN concat('# new\ndef t', k, '():\n    return s', j, '()\n') END AS content", "k % 5 = 0 AS deleted", "2 AS modified")
+    for changes in (first, then):
+        changes.write.mode("append").json(f"{folder}/changes")
+        watch.watch(spark, f"{folder}/changes", made, f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return _named_edges(made.load())
+
+
+# A source tree of customers, encoded: each file imports, refers to and calls what another one defines
+
+
+RUST = """use crate::p%j::f%j;
+
+/// Number %k.
+pub struct S%k;
+
+impl S%k {
+    pub fn m%k(&self, other: S%j) -> S%k {
+        f%j().m%j(f%k());
+        hidden!("f%j()")
+    }
+}
+
+pub fn f%k() {}
+"""
+FILE = "custs AS (SELECT c_custkey AS k, 7 * c_custkey % (SELECT count(*) FROM customer) + 1 AS j, 'src/n' || c_nationkey AS folder FROM customer), tree AS (SELECT *, folder || '/' || k || '.rs' AS path FROM custs)"
+
+
+def _encoded(spark: SparkSession, d: str) -> store.CodeGraph:
+    counted = table(spark, d, "customer").crossJoin(canonical._size(table(spark, d, "customer"), "files"))
+    numbers = counted.selectExpr("concat('src/n', c_nationkey, '/', c_custkey, '.rs') AS path", "cast(c_custkey AS string) AS k", "cast(7 * c_custkey % files + 1 AS string) AS j")
+    filled = F.replace(F.replace(F.lit(RUST), F.lit("%k"), F.col("k")), F.lit("%j"), F.col("j"))
+    return facts.encode(numbers.select("path", F.lit("rust").alias("language"), filled.alias("content"))).graph
+
+
+@register(
+    "encode_nodes",
+    f"""WITH {FILE} SELECT NULL AS path, 'repository' AS category, 'root' AS name, NULL AS line, NULL AS documentation
+UNION ALL SELECT DISTINCT folder, 'directory', split_part(folder, '/', 2), NULL, NULL FROM tree
+UNION ALL SELECT path, 'file', k || '.rs', NULL, NULL FROM tree
+UNION ALL SELECT path, 'import', 'crate::p' || j || '::f' || j, 1, NULL FROM tree
+UNION ALL SELECT path, 'type', 'S' || k, 4, 'Number ' || k || '.' FROM tree
+UNION ALL SELECT path, 'variable', 'S' || k, 6, '' FROM tree
+UNION ALL SELECT path, 'function', 'm' || k, 7, '' FROM tree
+UNION ALL SELECT path, 'function', 'f' || k, 13, '' FROM tree""",
+)
+def encode_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _encoded(spark, d).nodes
+    return nodes.select(F.when(F.col("category") != "repository", F.col("path")).alias("path"), "category", "name", F.col("location.start_line").alias("line"), "documentation")
+
+
+# A type reference finds the last definition of its file, or of the only file that has it the first.
+@register(
+    "encode_edges",
+    f"""WITH {FILE} SELECT edge_type, source, target FROM (
+SELECT 'contains' AS edge_type, split_part(folder, '/', 2) AS source, k || '.rs' AS target FROM tree
+UNION ALL SELECT 'contains', k || '.rs', unnest(['crate::p' || j || '::f' || j, 'S' || k, 'S' || k, 'm' || k, 'f' || k]) FROM tree
+UNION ALL SELECT 'references', 'crate::p' || j || '::f' || j, 'f' || j FROM tree WHERE j IN (SELECT k FROM custs)
+UNION ALL SELECT 'calls', k || '.rs', unnest(['f' || j, 'm' || j]) FROM tree WHERE j IN (SELECT k FROM custs)
+UNION ALL SELECT 'calls', k || '.rs', 'f' || k FROM tree
+UNION ALL SELECT 'uses_type', k || '.rs', 'S' || k FROM tree
+UNION ALL SELECT 'uses_type', k || '.rs', 'S' || j FROM tree WHERE j = k)""",
+)
+def encode_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _named_edges(_encoded(spark, d))
+
+
+@register("find_by_location", f"WITH {FILE} SELECT path, unnest([1, 4, 6, 7, 13]) AS line, 1 AS matches FROM tree")
+def find_by_location(spark: SparkSession, d: str) -> DataFrame:
+    return _encoded(spark, d).first_by_location().select("path", "line", F.col("matches").cast("int").alias("matches"))
+
+
+@register("encode_semantics", "SELECT p_partkey AS node_id, 'handle ' || replace(p_name, ' ', '_') AS feature, 'about ' || replace(p_name, ' ', '_') AS description FROM part")
+def encode_semantics(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptions by the offline client of every part, each in a file of its own."""
+    nodes = table(spark, d, "part").selectExpr("p_partkey AS node_id", "p_partkey AS node_seq", "replace(p_name, ' ', '_') AS name", "concat('src/p', p_partkey, '.rs') AS path")
+    found = enrich.encode_semantics(nodes, nodes.select("path", F.concat(F.lit("Describe\n"), "name").alias("prompt")))
+    return found.select("node_id", F.get("features", F.lit(0)).alias("feature"), "description")
+
+
+# Two versions of the canonical graph, the second as a patch of the first
+
+
+NEWER = "n AS (SELECT node_id, CASE WHEN category = 'type' THEN upper(name) ELSE name END AS name FROM nodes WHERE NOT (category = 'function' AND node_id % 5 = 0)), e AS (SELECT * FROM edges WHERE edge_type <> 'extends' AND src IN (SELECT node_id FROM n) AND dst IN (SELECT node_id FROM n))"
+
+
+def _stored(spark: SparkSession, d: str) -> store.Store:
+    """A store whose base is the canonical graph and whose patch takes functions and bases, renames types and adds a call."""
+    old = graph(spark, d)
+    nodes = old.nodes.where("NOT (category = 'function' AND node_id % 5 = 0)").withColumn("name", F.when(F.col("category") == "type", F.upper("name")).otherwise(F.col("name")))
+    kept = store.with_both_ends(old.edges.where("edge_type <> 'extends'"), nodes)
+    fresh = old.nodes.where("category = 'type'").select((F.col("node_id") + 10**15).alias("edge_seq"), F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit("calls").alias("edge_type"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    made = store.Store(spark, scratch.scratch_path(spark, "store"), store.Threshold(patches=1))
+    made.save_base(old)
+    made.write_patch(store.changes_between(made.load(), store.CodeGraph(nodes, kept.unionByName(fresh))))
+    return made
+
+
+on_stored = f"SELECT 'node' AS kind, name AS label, count(*) AS n FROM n GROUP BY name UNION ALL SELECT 'edge', edge_type, count(*) FROM (SELECT edge_type FROM e UNION ALL SELECT 'calls' FROM nodes WHERE category = 'type') GROUP BY edge_type"
+
+
+def _labels(g: store.CodeGraph) -> DataFrame:
+    return g.nodes.groupBy(F.lit("node").alias("kind"), F.col("name").alias("label")).agg(F.count("*").alias("n")).unionAll(g.edges.groupBy(F.lit("edge").alias("kind"), F.col("edge_type").alias("label")).agg(F.count("*").alias("n")))
+
+
+@register("store_patch", f"{GRAPH}, {NEWER} {on_stored}")
+def store_patch(spark: SparkSession, d: str) -> DataFrame:
+    return _labels(_stored(spark, d).load())
+
+
+@register("store_compact", f"{GRAPH}, {NEWER} {on_stored}")
+def store_compact(spark: SparkSession, d: str) -> DataFrame:
+    made = _stored(spark, d)
+    assert made.should_compact()
+    made.compact()
+    return _labels(made.load_base())
+
+
+# Calls of programs of several lines, with the shapes that are not calls among them
+
+
+CALLS: dict[str, tuple[str, list[tuple[str, str, str]]]] = {
+    "rust": ("pub(crate) fn go(s: &S) {\n    let Some(x) = find_%s(s) else { return };\n    match x { A(y) => s.a().%s(y), _ => T::make_%s() }\n    note!(hidden_%s(1));\n}", [("go", "find_%s", "direct"), ("go", "a", "method"), ("go", "%s", "method"), ("go", "T::make_%s", "associated"), ("go", "note", "macro")]),
+    "python": ("import os\n\ndef go(x):\n    # hidden_%s()\n    return os.a(x).%s(find_%s('hidden()'))\n", [("go", "a", "method"), ("go", "%s", "method"), ("go", "find_%s", "direct")]),
+    "go": ("package main\n\nimport (\n\t\"fmt\"\n)\n\ntype I interface {\n\tHidden_%s() error\n}\n\nfunc go_(x T) {\n\tfmt.Print_%s([]byte(x.find_%s()))\n}", [("go_", "fmt.Print_%s", "constructor"), ("go_", "find_%s", "method")]),
+    "c": ("#define M(a) hidden_%s(a)\nint proto_%s(int a);\n\nstatic int\ngo(int a)\n{\n    if (a) return match(find_%s(a));\n    return sizeof(int);\n}", [("go", "match", "direct"), ("go", "find_%s", "direct")]),
+    "cpp": ("class A {\n  A(int a);\n  int go();\n};\nint A::go() {\n  W w(find_%s(1));\n  return w.%s() + n::load_%s(2);\n}", [("A::go", "find_%s", "direct"), ("A::go", "%s", "method"), ("A::go", "load_%s", "method")]),
+    "javascript": ("const go = async (x) => {\n  await (x);\n  return x.map(async (y) => find_%s(y)).%s(when(1));\n};", [("go", "map", "method"), ("go", "find_%s", "direct"), ("go", "%s", "method"), ("go", "when", "direct")]),
+    "typescript": ("interface I { hidden_%s(a: number): void; }\n\nconst go = async (x: I): Promise<number> => find_%s<number>(x.%s());", [("go", "find_%s", "direct"), ("go", "%s", "method")]),
+    "java": ("class A {\n    @Hidden(\"x\")\n    int go(int a) {\n        when(a).%s(match(2));\n        return new B(find_%s()).get();\n    }\n}", [("go", "when", "direct"), ("go", "%s", "method"), ("go", "match", "direct"), ("go", "find_%s", "direct"), ("go", "get", "method")]),
+    "ruby": ("class A\n  def go(x)\n    x.%s\n    x.a(1).find_%s\n    notify x\n    puts x\n  end\nend", [("go", "%s", "method"), ("go", "a", "method"), ("go", "find_%s", "method"), ("go", "notify", "direct")]),
+    "lua": ("function M.go(x)\n  print(x)\n  return x:%s(find_%s(1)), M.b(2)\nend", [("M.go", "%s", "method"), ("M.go", "find_%s", "direct"), ("M.go", "b", "method")]),
+    "swift": ("func go(_ x: Int) -> Int {\n    guard let y = find_%s(x) else { return 0 }\n    return y.a(1).%s()\n}", [("go", "find_%s", "direct"), ("go", "a", "method"), ("go", "%s", "method")]),
+    "haskell": ("data A = A Int\n  deriving (Show, Eq)\n\ngo :: Int -> Int\ngo x = find_%s (load_%s x)\n", [("go", "find_%s", "direct"), ("go", "load_%s", "direct")]),
+    "csharp": ("class A {\n    [Hidden(\"x\")]\n    public int Go(int a) {\n        W w = Find_%s(a);\n        return w.A().B_%s();\n    }\n}", [("Go", "Find_%s", "method"), ("Go", "A", "method"), ("Go", "B_%s", "method")]),
+    "scala": ("object A {\n  def go(x: Int): Int = {\n    find_%s[Int](x).b_%s()\n  }\n}", [("go", "find_%s", "method"), ("go", "b_%s", "method")]),
+}
+
+
+def _called(spark: SparkSession, d: str, language: str, program: str) -> DataFrame:
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    files = table(spark, d, "part").select(F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("path"), F.lit(language).alias("language"), F.replace(F.lit(program), F.lit("%s"), name).alias("content"))
+    return facts.explode(facts.parse_files(files), "calls").select("path", "caller", "callee", "call_kind")
+
+
+for _language, (_program, _calls) in CALLS.items():
+    _rows = ", ".join(f"('{a}', '{b}', '{k}')" for a, b, k in _calls)
+    register(f"calls_{_language}", f"SELECT 'p/' || p_partkey AS path, caller, replace(callee, '%s', replace(p_name, ' ', '_')) AS callee, call_kind FROM part, (VALUES {_rows}) AS v(caller, callee, call_kind)")(lambda spark, d, language=_language, program=_program: _called(spark, d, language, program))

@@ -613,7 +613,7 @@ def _calls(code: str, lang: Language):
         if any(a <= at < b for _, a, b in macros):
             continue
         end = close(code, m.end() - 1)
-        if re.search(r"\bnew\s+$", before):  # an object's creation is no call
+        if re.search(r"\bnew\s+$", before) and "(" not in path:  # an object's creation is no call, but what is called on it
             continue
         if lang.calls == "rust":
             if _is_pattern(code, at, end):

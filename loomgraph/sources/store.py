@@ -226,13 +226,19 @@ def from_json(spark: SparkSession, nodes_path: str, edges_path: str) -> CodeGrap
     return CodeGraph(nodes, with_both_ends(spark.read.schema(EDGES).json(edges_path), nodes))
 
 
-def to_dot(graph: CodeGraph, imports: bool = False) -> DataFrame:
+#: Fill colours of node categories in drawings.
+COLOURS = {"repository": "#d9d2e9", "directory": "#cfe2f3", "file": "#d0e0e3", "module": "#d9ead3", "type": "#fff2cc", "function": "#fce5cd", "import": "#eeeeee", "constant": "#ead1dc", "variable": "#f4cccc", "feature": "#c9daf8", "component": "#b6d7a8", "functional_centroid": "#a2c4c9"}
+
+
+def to_dot(graph: CodeGraph, imports: bool = False, colours: bool = True) -> DataFrame:
     """(part, ordinal, line): lines of a DOT drawing, clusters by directory of their path; import edges only on demand."""
     styles = {"contains": "dotted", "calls": "solid", "imports": "dashed", "extends": "bold", "implements": "bold"}
     style = F.coalesce(F.create_map(*[F.lit(x) for pair in styles.items() for x in pair])[F.col("edge_type")], F.lit("solid"))
     quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.coalesce(c, F.lit("")), '(["\\\\])', r"\\$1"), F.lit('"'))
     folder = F.regexp_extract(F.coalesce("path", F.lit("")), r"^(.*)/[^/]*$", 1)
-    member = F.concat(F.lit("n"), F.col("node_id").cast("string"), F.lit(" [label="), quoted(F.col("name")), F.lit("];"))
+    colour = F.coalesce(F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])[F.col("category")], F.lit("#ffffff"))
+    filled = F.concat(F.lit(', style=filled, fillcolor="'), colour, F.lit('"')) if colours else F.lit("")
+    member = F.concat(F.lit("n"), F.col("node_id").cast("string"), F.lit(" [label="), quoted(F.col("name")), filled, F.lit("];"))
     grouped = graph.nodes.groupBy(folder.alias("folder")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", member.alias("m")))), lambda x: x["m"]), " ").alias("members"))
     clusters = grouped.select(F.lit(1).alias("part"), F.xxhash64("folder").alias("ordinal"), F.concat(F.lit("subgraph "), quoted(F.concat(F.lit("cluster_"), F.col("folder"))), F.lit(" { "), F.col("members"), F.lit(" }")).alias("line"))
     shown = graph.edges if imports else graph.edges.where("edge_type <> 'imports'")

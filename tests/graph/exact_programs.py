@@ -172,6 +172,7 @@ public class Shop extends Base implements Seller {
         when(item).thenReturn(match(2));
         synchronized (this) { lock(); }
         List<String> out = new ArrayList<>(size());
+        new a.Made(out).start();
         return select(this.stock.find(item).get());
     }
 
@@ -179,7 +180,7 @@ public class Shop extends Base implements Seller {
 }
 ''',
         {("Shop", "class"), ("limit", "field"), ("sell", "method"), ("Seller", "interface"), ("price", "method")},
-        {("", "start", "direct"), ("sell", "when", "direct"), ("sell", "thenReturn", "method"), ("sell", "match", "direct"), ("sell", "lock", "direct"), ("sell", "size", "direct"), ("sell", "select", "direct"), ("sell", "find", "method"), ("sell", "get", "method")},
+        {("", "start", "direct"), ("sell", "when", "direct"), ("sell", "thenReturn", "method"), ("sell", "match", "direct"), ("sell", "lock", "direct"), ("sell", "size", "direct"), ("sell", "start", "method"), ("sell", "select", "direct"), ("sell", "find", "method"), ("sell", "get", "method")},
     ),
     "ruby": (
         '''require "set"

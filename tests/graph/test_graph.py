@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -154,6 +155,43 @@ def test_encode(spark):
     assert help_.documentation == "Helps." and help_.location.start_line == 2 and help_.category == "function"
 
 
+def breadth_first(edges, start, direction, limit, max_depth):
+    """(nodes, edges) in order of discovery, as a queue gives them."""
+    seen, queue, nodes, tree = {start}, [(start, 0)], [], []
+    while queue:
+        at, depth = queue.pop(0)
+        if max_depth is not None and depth > max_depth:
+            continue
+        nodes.append(at)
+        if limit is not None and len(nodes) >= limit:
+            break
+        out = [(d, n) for n, s, d, _ in sorted(edges, reverse=True) if s == at] if direction != "incoming" else []
+        into = [(s, n) for n, s, d, _ in sorted(edges, reverse=True) if d == at] if direction != "outgoing" else []
+        for other, n in out + into:
+            if other not in seen:
+                seen.add(other)
+                tree.append((at, other, n))
+                queue.append((other, depth + 1))
+    return nodes, tree
+
+
+@pytest.mark.parametrize(("direction", "limit", "max_depth"), [("outgoing", 7, None), ("both", 12, None), ("both", 1, None), ("incoming", None, 2), ("both", 9, 2)])
+def test_exploration_in_order_of_discovery(spark, direction, limit, max_depth):
+    rng = random.Random(3)
+    edges = [(n, rng.randrange(25), rng.randrange(25), "calls") for n in range(45)]
+    graph = make(spark, [node(i) for i in range(25)], edges)
+    starts = spark.createDataFrame([(i,) for i in range(0, 25, 4)], "start bigint")
+    got = explore.explore(graph, starts, direction, explore.Filter(limit=limit, max_depth=max_depth))
+    nodes, tree = {}, {}
+    for r in got.nodes.collect():
+        nodes.setdefault(r.start, set()).add(r.node_id)
+    for r in got.edges.collect():
+        tree.setdefault(r.start, set()).add((r.src, r.dst, r.edge_seq))
+    for start in range(0, 25, 4):
+        want = breadth_first(edges, start, direction, limit, max_depth)
+        assert (nodes[start], tree.get(start, set())) == (set(want[0]), set(want[1]))
+
+
 def test_walk(spark, tmp_path):
     for p, t in {**SOURCES, "README.md": "x", ".hidden.py": "x = 1", "target/gen.rs": "fn x() {}", ".gitignore": "target/\n", "src/Upper.RS": "fn", "own/.loomignore": "*.py\n", "own/x.py": "", ".git/info/exclude": "/local.rs\n", "local.rs": ""}.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
@@ -256,6 +294,46 @@ def test_enrichment(spark):
     assert [(r.node_id, r.features, r.feature_path) for r in got] == [(1, ["handle run"], "A/B/Misc/run")]
 
 
+def test_http_client():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            prompt = body["messages"][0]["content"]
+            asked.append((prompt, body["model"], body["temperature"], self.headers["Authorization"]))
+            code = {"bad": 400, "busy": 429 if sum(p == "busy" for p, *_ in asked) < 2 else 200}.get(prompt, 200)
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": f"to {prompt}"}}]}).encode() if code == 200 else b"")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        config_ = enrich.Config(model="m", base_url=f"http://127.0.0.1:{server.server_port}/v1/", temperature=0.1)
+        enrich.PAUSE = 0.01
+        assert enrich.http_client(config_, "k")()(["a", "busy", "bad", "b"]) == ["to a", "to busy", "", "to b"]
+    finally:
+        server.shutdown()
+    assert sorted(p for p, *_ in asked) == ["a", "b", "bad", "busy", "busy"]
+    assert {x[1:] for x in asked} == {("m", 0.1, "Bearer k")}
+
+
+def test_similar_pairs(spark):
+    rng = random.Random(1)
+    side = lambda n: [(i, sorted(set(rng.choices("abcdefghijklmnopqrst", k=rng.randint(0, 9))))) for i in range(n)]
+    a, b = side(60), side(40)
+    got = search.similar_pairs(spark.createDataFrame(a, "a bigint, tokens array<string>"), spark.createDataFrame(b, "b bigint, tokens array<string>"), 0.3)
+    want = {(i, j) for i, x in a for j, y in b if x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.3}
+    assert {(r.a, r.b) for r in got.collect()} == want and want
+
+
 def test_summary_of_a_diff(spark):
     graph = make(spark, [node(0, "file", "a.rs", "a.rs"), node(1, path="a.rs"), node(2, "file", "b.rs", "b.rs"), node(3, "component", level="high", feature="store")], [(0, 0, 1, "contains"), (1, 2, 1, "calls")])
     changes = spark.createDataFrame([("a.rs", "modified")], "path string, change string")
