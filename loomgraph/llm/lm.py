@@ -1,22 +1,26 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counting. The lower-cased words of all texts give n-grams of orders 1 to ``ORDER``, named by 56-bit
-hashes. Each batch sorts its hashes and sends them as compressed differences to the part that their
-highest bits name; a part sums its counts. Every n-gram of the corpus is counted.
+Counting. The lower-cased words of all texts give n-grams of orders 1 to ``ORDER``, named by hashes of ``SPARE`` bits more
+than number the bytes of all texts, so that of 2 ** ``SPARE`` n-grams about one shares another's name, far fewer than the filter
+confuses. Each batch sorts its hashes and sends them as compressed differences to the part that their
+highest bits name; a part sums its counts. Every n-gram of the corpus is counted. Parts are as many as keep each to the n-grams of
+about ``PART_BYTES`` of text.
 
 Filter. A count c has the level 1 + floor(log2 c), and its n-gram is inserted together with each of the levels 1
-to that. N-grams of every order are held from ``LEAST_COUNT`` occurrences on, which is 1: all of them.
+to that, all n-grams of all orders from their first occurrence on.
 A part builds its own segment, of ``BITS`` bits an insertion, so that no two tasks write to one.
 
 Scoring. Levels are probed from 1 until one is missing; a level stands for the middle of its
-counts. The probability of a word is interpolated: ``WEIGHTS`` of the relative frequencies by
-trigram, bigram and word, and of a uniform one. False positives only raise a level.
+counts. The probability of a word is smoothed by Dirichlet priors, from order to order: (c + ``PRIOR`` p) / (h + ``PRIOR``) of the
+count c of the n-gram, the count h of the n - 1 words before it, and the probability p by one order less, that of order 0 being
+uniform. So an n-gram that always follows its history scores the higher the more often both occur. False positives only raise a
+level, and c is taken as h at most.
 
-The filter goes to the workers if it has at most ``BROADCAST_BYTES``. A larger one is
-cut into shards of that size, and the texts are passed over once for each shard; the levels found
-so far travel with the texts.
+The filter is broadcast, in shards of about ``SHARD_BYTES``, if it has at most ``BROADCAST_BYTES``. The segments of a larger one stay where they are, and the texts
+are gathered into batches once, whose distinct n-grams go to their parts, as they do to be counted, and come back as levels; no
+filter then moves, and no text more than once.
 
-Defined results: a null text has null results; one without words has 0 words, log probability 0 and a null
+Defined results: a null text has null results; one without words has 0 words and a null probability and
 perplexity; ids may be null or repeated, rows alike are counted each and score alike; an
 empty table gives an empty one; other columns are not read.
 """
@@ -24,6 +28,7 @@ empty table gives an empty one; other columns are not read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,21 +42,26 @@ from loomgraph.llm.text import Batch, chunks, mix
 from loomgraph.plans import scratch
 
 ORDER = 3
-LEAST_COUNT = 1
 BITS = 10
 PROBES = 7
-WEIGHTS = (0.5, 0.3, 0.15, 0.05)
+#: Occurrences that the next lower order's probability counts for.
+PRIOR = 2.0
 BROADCAST_BYTES = 256 << 20
+PART_BYTES = 8 << 20
+#: Bytes of a shard, about, of which the driver has one at a time.
+SHARD_BYTES = 24 << 20
+#: Characters that are counted, and that are scored, at once; beside the filter less is held.
 AT_ONCE = 1 << 21
+SCORED = 1 << 20
 #: Words whose levels a worker remembers.
 REMEMBERED = 1_000_000
-#: Bits of an n-gram's name.
-NAME = 56
+RESULT = {"n_words": "bigint", "mean_log2_prob": "double", "perplexity": "double"}
+SPARE = 14
 _SALTS = [np.uint64(0), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)]
 
 
-def ngrams(texts: Batch) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each order the name of the n-gram that ends at each word (0 if its text has too few before), and words of each text."""
+def ngrams(texts: Batch, name: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order the name, of so many bits, of the n-gram that ends at each word (0 if its text has too few before), and words of each text."""
     starts, _, hashes = texts.words()
     sizes = texts.counts(starts)
     place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -62,42 +72,58 @@ def ngrams(texts: Batch) -> tuple[list[np.ndarray], np.ndarray]:
         longer[1:] = mix(out[-1][:-1] * np.uint64(3) + hashes[1:] + _SALTS[order])
         longer[place < order] = 0
         out.append(longer)
-    return [np.where(x == 0, x, np.maximum(x >> np.uint64(64 - NAME), np.uint64(1))) for x in out], sizes
+    return [np.where(x == 0, x, np.maximum(x >> np.uint64(64 - name), np.uint64(1))) for x in out], sizes
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Ascending numbers as compressed byte planes of their differences."""
-    planes = np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    return zstandard.compress(planes.tobytes(), 1)
+def _pack(*columns: np.ndarray) -> bytes:
+    """Ascending numbers, as compressed byte planes of their differences, and other columns after them."""
+    planes = [np.diff(columns[0], prepend=np.uint64(0)), *columns[1:]]
+    return zstandard.compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in planes), 1)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(planes.T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    """What ``_pack`` packed: the ascending numbers, and columns of the kinds."""
+    kinds = (np.uint64, *kinds)
+    rest = np.frombuffer(zstandard.decompress(data), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, out, at = len(rest) // sum(widths), [], 0
+    for kind, width in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(rest[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
 
 
-def _count(parts: int):
-    """Texts to (part, order, names, counts, total)."""
+def _part(names: np.ndarray, name: int, parts: int) -> np.ndarray:
+    return (names >> np.uint64(name - parts.bit_length() + 1)).astype(np.int64)
+
+
+def _by_part(names: np.ndarray, name: int, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of sorted names."""
+    part = _part(names, name, parts)
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(part[a]), a, b
+
+
+def _count(name: int, parts: int):
+    """Texts to (part, order, data): the names and counts of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.uint64(NAME - parts.bit_length() + 1)
         for batch in batches:
             for _, _, texts in chunks(batch.column(0), AT_ONCE):
                 rows = []
-                for order, names in enumerate(ngrams(texts)[0]):
+                for order, names in enumerate(ngrams(texts, name)[0]):
                     each, counts = np.unique(names[names != 0], return_counts=True)
-                    part = (each >> shift).astype(np.int64)
-                    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(0, np.int64)
-                    for a, b in zip(cut[:-1], cut[1:], strict=True):
-                        rows.append((int(part[a]), order, _pack(each[a:b]), zstandard.compress(counts[a:b].astype(np.uint32).tobytes(), 1)))
+                    counts = counts.astype(np.uint32)
+                    rows += [(part, order, _pack(each[a:b], counts[a:b])) for part, a, b in _by_part(each, name, parts)]
                 if rows:
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "order", "names", "counts"])
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "order", "data"])
 
     return run
 
 
 def _sum(names: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every, many = np.concatenate(names), np.concatenate(counts)
+    every, many = np.concatenate(names), np.concatenate(counts).astype(np.int64)
     order = np.argsort(every, kind="stable")
     every, many = every[order], many[order]
     edge = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
@@ -129,11 +155,9 @@ def _segment(per: int):
             own = [r for r in rows if r["order"] == order]
             if not own:
                 continue
-            names, counts = _sum([_unpack(r["names"]) for r in own], [np.frombuffer(zstandard.decompress(r["counts"]), np.uint32).astype(np.int64) for r in own])
+            names, counts = _sum(*zip(*[_unpack(r["data"], np.uint32) for r in own], strict=True))
             if order == 0:
                 words, total = len(names), int(counts.sum())
-            else:
-                names, counts = names[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
             held.append((names, _levels(counts)))
         names, levels = (np.concatenate(x) for x in zip(*held, strict=True))
         size = max(64, int(levels.sum()) * per)
@@ -147,63 +171,77 @@ def _segment(per: int):
     return run
 
 
-@dataclass
-class Filter:
-    """A range of parts of the filter; ``offset`` is where each part's bytes begin, ``size`` its bits (0: not here)."""
+def _probe(names: np.ndarray, bits: np.ndarray, base: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The level of each name by a segment of so many bits that begins at byte ``base``; 0 where it has no bits."""
+    found = np.zeros(len(names), np.uint8)
+    at = np.flatnonzero(bits)
+    names, bits, base = names[at], bits[at].astype(np.uint64), base[at]
+    level = 1
+    while len(at):
+        alive = np.arange(len(at))
+        a, b = _start(names, level)
+        size, start = bits, base
+        for i in range(PROBES):
+            seat = _seat(a, b, i, size)
+            hit = np.flatnonzero((data[start + (seat >> 3)] >> (seat & 7).astype(np.uint8)) & 1)
+            if len(hit) < len(alive):
+                alive, a, b, size, start = alive[hit], a[hit], b[hit], size[hit], start[hit]
+        at, names, bits, base = at[alive], names[alive], bits[alive], base[alive]
+        found[at] = level
+        level += 1
+    return found
 
-    parts: int
+
+@dataclass(frozen=True)
+class Shard:
+    """The parts from ``low`` on; ``offset`` is where each part's bytes begin, ``size`` its bits."""
+
+    low: int
     offset: np.ndarray
     size: np.ndarray
     data: np.ndarray
+
+
+@dataclass
+class Filter:
+    """The filter, as shards in the order of their parts."""
+
+    name: int
+    parts: int
+    shards: list[Shard]
     seen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     seen_levels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
 
-    def level(self, names: np.ndarray, found: np.ndarray, frequent: bool = False) -> None:
-        """Raise ``found`` to the level of each n-gram that this shard holds."""
-        # Each n-gram is probed once, in the order of the segments.
-        each, back = np.unique(names, return_inverse=True)
-        levels = np.zeros(len(each), np.uint8)
-        self._recall(each, levels) if frequent else self._probe(each, levels)
-        np.maximum(found, levels[back], out=found)
-
-    def _recall(self, names: np.ndarray, found: np.ndarray) -> None:
-        """The same for sorted names that come again and again: what was probed is remembered."""
+    def levels(self, names: np.ndarray) -> np.ndarray:
+        """The level of each sorted name, 0 of those that are not held."""
+        part, found = _part(names, self.name, self.parts), np.zeros(len(names), np.uint8)
+        for shard in self.shards:
+            own = slice(*np.searchsorted(part, [shard.low, shard.low + len(shard.size)]))
+            at = part[own] - shard.low
+            found[own] = _probe(names[own], shard.size[at], shard.offset[at], shard.data)
+        return found
+
+    def recall(self, names: np.ndarray) -> np.ndarray:
+        """The same for names that come again and again: what was probed is remembered."""
         if len(self.seen) > REMEMBERED:
-            self.seen, self.seen_levels = names[:0], found[:0]
+            self.seen, self.seen_levels = self.seen[:0], self.seen_levels[:0]
         at = np.minimum(np.searchsorted(self.seen, names), max(0, len(self.seen) - 1))
         known = self.seen[at] == names if len(self.seen) else np.zeros(len(names), bool)
+        found = np.zeros(len(names), np.uint8)
         found[known] = self.seen_levels[at[known]]
         new = names[~known]
         if len(new):
-            levels = np.zeros(len(new), np.uint8)
-            self._probe(new, levels)
-            found[~known] = levels
+            found[~known] = self.levels(new)
             every = np.concatenate([self.seen, new])
             order = np.argsort(every, kind="stable")
-            self.seen, self.seen_levels = every[order], np.concatenate([self.seen_levels, levels])[order]
-
-    def _probe(self, names: np.ndarray, found: np.ndarray) -> None:
-        part = (names >> np.uint64(NAME - self.parts.bit_length() + 1)).astype(np.int64)
-        at = np.flatnonzero((names != 0) & (self.size[part] > 0))
-        names, part = names[at], part[at]
-        level = 1
-        while len(at):
-            alive = np.arange(len(at))
-            a, b = _start(names, level)
-            bits, base = self.size[part].astype(np.uint64), self.offset[part]
-            for i in range(PROBES):
-                seat = _seat(a, b, i, bits)
-                hit = np.flatnonzero((self.data[base + (seat >> 3)] >> (seat & 7).astype(np.uint8)) & 1)
-                if len(hit) < len(alive):
-                    alive, a, b, bits, base = alive[hit], a[hit], b[hit], bits[hit], base[hit]
-            at, names, part = at[alive], names[alive], part[alive]
-            found[at] = level
-            level += 1
+            self.seen, self.seen_levels = every[order], np.concatenate([self.seen_levels, found[~known]])[order]
+        return found
 
 
 @dataclass(frozen=True)
 class Model:
     segments: DataFrame
+    name: int
     parts: int
     words: int
     total: int
@@ -212,23 +250,28 @@ class Model:
 
 def train(docs: DataFrame, text_col: str = "text", bits: int = BITS) -> Model:
     """Count the n-grams of all texts and build the filter, part by part."""
-    spark = docs.sparkSession
-    parts = 1 << max(4, math.ceil(math.log2(16 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(parts), "part int, order int, names binary, counts binary")
+    texts = docs.select(F.col(text_col).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, name = 1 << max(4, (math.ceil(size / PART_BYTES) - 1).bit_length()), min(60, max(36, size.bit_length() + SPARE))
+    counted = texts.mapInArrow(_count(name, parts), "part int, order int, data binary")
     segments = counted.groupBy("part").applyInArrow(_segment(bits), "part int, size bigint, bits binary, words bigint, total bigint")
     segments = scratch.materialize(segments, "filter")
     words, total, size = segments.agg(F.sum("words"), F.sum("total"), F.sum(F.length("bits"))).first()
-    return Model(segments, parts, words or 0, total or 0, size or 0)
+    return Model(segments, name, parts, words or 0, total or 0, size or 0)
 
 
-def _load(model: Model, low: int, high: int) -> Filter:
-    rows = model.segments.where((F.col("part") >= low) & (F.col("part") < high)).select("part", "size", "bits").toLocalIterator()
-    offset, size, chunks_, at = np.zeros(model.parts, np.int64), np.zeros(model.parts, np.int64), [], 0
-    for r in rows:
-        offset[r.part], size[r.part] = at, r.size
-        chunks_.append(np.frombuffer(bytes(r.bits), np.uint8))
-        at += len(r.bits)
-    return Filter(model.parts, offset, size, np.concatenate(chunks_) if chunks_ else np.zeros(0, np.uint8))
+def shards_of(model: Model) -> Iterator[Shard]:
+    """The filter, some parts at a time, so that the driver never has all of it."""
+    step = max(1, model.parts * SHARD_BYTES // max(SHARD_BYTES, model.bytes))
+    for low in range(0, model.parts, step):
+        own = model.segments.where((F.col("part") >= low) & (F.col("part") < low + step)).select("part", "size", "bits").toArrow()
+        offset, size = np.zeros(step, np.int64), np.zeros(step, np.int64)
+        data, at = [], 0
+        for part, n, bits in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), own.column(2), strict=True):
+            data.append(np.frombuffer(bits.as_buffer(), np.uint8))
+            offset[part - low], size[part - low] = at, n
+            at += len(data[-1])
+        yield Shard(low, offset, size, np.concatenate(data) if data else np.zeros(0, np.uint8))
 
 
 def _middle(levels: np.ndarray) -> np.ndarray:
@@ -239,61 +282,113 @@ def _middle(levels: np.ndarray) -> np.ndarray:
 def probability(levels: list[np.ndarray], first: np.ndarray, words: int, total: int) -> np.ndarray:
     """Of each word, by the levels of the n-grams that end at it; ``first`` marks the first words of texts."""
     counts = [_middle(x.astype(float)) for x in levels]
-    before = [np.r_[0.0, c[:-1]] for c in counts]
-    before[0][first] = 0
-    out = WEIGHTS[ORDER] / (words + 1) + WEIGHTS[ORDER - 1] * np.minimum(1, counts[0] / max(1, total))
-    for order in range(1, ORDER):
-        share = np.divide(counts[order], before[order - 1], out=np.zeros(len(out)), where=before[order - 1] > 0)
-        out = out + WEIGHTS[ORDER - 1 - order] * np.minimum(1, share)
+    before = [np.full(len(levels[0]), float(total)), *[np.r_[0.0, c[:-1]] for c in counts[:-1]]]
+    out = np.full(len(levels[0]), 1 / (words + 1))
+    for order, (count, history) in enumerate(zip(counts, before, strict=True)):
+        if order:
+            history[first] = 0
+        out = (np.minimum(count, history) + PRIOR * out) / (history + PRIOR)
     return out
 
 
-def _probe(shard, words: int, total: int, last: bool):
+def _results(ids: pa.Array, null: np.ndarray, sizes: np.ndarray, levels: list[np.ndarray], words: int, total: int) -> pa.RecordBatch:
+    some = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[some]
+    mean = np.zeros(len(sizes))
+    if len(some):
+        # Text by text, so that a score does not depend on those beside it.
+        mean[some] = np.add.reduceat(np.log2(probability(levels, starts, words, total)), starts) / sizes[some]
+    none = null | (sizes == 0)
+    return pa.record_batch([ids, pa.array(sizes.astype(np.int64), mask=null), pa.array(mean, mask=none), pa.array(np.exp2(-mean), mask=none)], names=["id", *RESULT])
+
+
+def _broadcast(shared: list, name: int, parts: int, words: int, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = shard.value
+        filter_ = Filter(name, parts, [x.value for x in shared])
         for batch in batches:
-            for a, b, texts in chunks(batch.column(1), AT_ONCE):
-                names, sizes = ngrams(texts)
-                levels = [np.zeros(len(x), np.uint8) for x in names]
-                edges = np.r_[0, np.cumsum(sizes)]
-                if batch.num_columns > 2:
-                    old = batch.column(2).slice(a, b - a)
-                    rows = np.frombuffer(b"".join(x or b"" for x in old.to_pylist()), np.uint8)
-                    # A text's levels lie order by order.
-                    lie = np.repeat(edges[:-1] * ORDER, sizes) + np.arange(edges[-1]) - np.repeat(edges[:-1], sizes)
-                    levels = [rows[lie + k * np.repeat(sizes, sizes)].copy() for k in range(ORDER)]
-                for order, (x, found) in enumerate(zip(names, levels, strict=True)):
-                    filter_.level(x, found, frequent=order == 0)
-                ids = batch.column(0).slice(a, b - a)
-                if not last:
-                    data = [None if null else b"".join(x[lo:hi].tobytes() for x in levels) for null, lo, hi in zip(texts.null, edges[:-1], edges[1:], strict=True)]
-                    yield pa.record_batch([ids, batch.column(1).slice(a, b - a), pa.array(data, pa.binary())], names=["id", "text", "levels"])
-                    continue
-                first = edges[:-1][sizes > 0]
-                logs = np.r_[0.0, np.cumsum(np.log2(probability(levels, first, words, total)))] if len(names[0]) else np.zeros(1)
-                logp = logs[edges[1:]] - logs[edges[:-1]]
-                none = texts.null | (sizes == 0)
-                ppl = np.exp2(-logp / np.maximum(1, sizes))
-                yield pa.record_batch([ids, pa.array(sizes.astype(np.int64), mask=texts.null), pa.array(logp, mask=texts.null), pa.array(ppl, mask=none)], names=["id", "n_words", "log2_prob", "perplexity"])
+            for a, b, texts in chunks(batch.column(1), SCORED):
+                names, sizes = ngrams(texts, name)
+                levels = []
+                for order, every in enumerate(names):
+                    # Each n-gram is probed once, in the order of the segments.
+                    each, back = np.unique(every, return_inverse=True)
+                    known = filter_.levels(each) if order else filter_.recall(each)
+                    known[each == 0] = 0
+                    levels.append(known[back])
+                yield _results(batch.column(0).slice(a, b - a), texts.null, sizes, levels, words, total)
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (batch, ids, texts) of about ``AT_ONCE`` characters each."""
+    for batch in batches:
+        for a, b, _ in chunks(batch.column(1), AT_ONCE):
+            edge = pa.array([0, b - a], pa.int32())
+            lists = [pa.ListArray.from_arrays(edge, batch.column(i).slice(a, b - a)) for i in range(2)]
+            yield pa.record_batch([pa.array([uuid.uuid4().hex]), *lists], names=["batch", "ids", "texts"])
+
+
+def _ask(name: int, parts: int):
+    """(batch, texts) to (batch, order, part, data): its distinct names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for order, every in enumerate(ngrams(Batch(texts.as_py()), name)[0]):
+                    each = np.unique(every[every != 0])
+                    rows = [(own, order, part, _pack(each[a:b])) for part, a, b in _by_part(each, name, parts)]
+                    if rows:
+                        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["batch", "order", "part", "data"])
+
+    return run
+
+
+def _answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
+    """The levels of all names asked of one part."""
+    bits = np.frombuffer(segment.column("bits")[0].as_buffer(), np.uint8) if segment.num_rows else np.zeros(0, np.uint8)
+    size = segment.column("size")[0].as_py() if segment.num_rows else 0
+    out = []
+    for data in asked.column("data"):
+        (names,) = _unpack(data.as_py())
+        out.append(zstandard.compress(_probe(names, np.full(len(names), size), np.zeros(len(names), np.int64), bits).tobytes(), 1))
+    return pa.table([*(asked.column(c) for c in ("batch", "order", "part")), pa.array(out, pa.binary())], names=["batch", "order", "part", "levels"])
+
+
+def _put_together(name: int, words: int, total: int):
+    def run(gathered: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("order", "part", "levels")), strict=True), key=lambda r: r[:2])
+        out = []
+        for ids, texts in zip(gathered.column("ids"), gathered.column("texts"), strict=True):
+            batch = Batch(texts.as_py())
+            names, sizes = ngrams(batch, name)
+            levels = []
+            for order, every in enumerate(names):
+                each, back = np.unique(every, return_inverse=True)
+                known = np.zeros(len(each), np.uint8)
+                known[each != 0] = np.frombuffer(b"".join(zstandard.decompress(x) for o, _, x in rows if o == order), np.uint8)
+                levels.append(known[back])
+            out.append(_results(ids.values, batch.null, sizes, levels, words, total))
+        return pa.Table.from_batches(out)
 
     return run
 
 
 def score(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, log2_prob, perplexity) of every row."""
+    """(id, n_words, mean_log2_prob, perplexity) of every row; the probability is a word's, the mean over the text."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    # Parts are about equal, as hashes spread their n-grams.
-    shards = max(1, math.ceil(model.bytes / BROADCAST_BYTES))
-    cuts = [model.parts * i // shards for i in range(shards + 1)]
-    for i in range(shards):
-        shard = spark.sparkContext.broadcast(_load(model, cuts[i], cuts[i + 1]))
-        last = i == shards - 1
-        base = base.mapInArrow(_probe(shard, model.words, model.total, last), f"id {kind}, " + ("n_words bigint, log2_prob double, perplexity double" if last else "text string, levels binary"))
-        if not last:
-            base = scratch.materialize(base, "levels")
-    return base.withColumnRenamed("id", id_col)
+    columns = f"id {kind}, " + ", ".join(f"{c} {t}" for c, t in RESULT.items())
+    if model.bytes <= BROADCAST_BYTES:
+        shared = [spark.sparkContext.broadcast(x) for x in shards_of(model)]
+        out = base.mapInArrow(_broadcast(shared, model.name, model.parts, model.words, model.total), columns)
+    else:
+        gathered = scratch.materialize(base.mapInArrow(_gather, f"batch string, ids array<{kind}>, texts array<string>"), "batches")
+        asked = gathered.select("batch", "texts").mapInArrow(_ask(model.name, model.parts), "batch string, order int, part int, data binary")
+        answers = asked.groupBy("part").cogroup(model.segments.select("part", "size", "bits").groupBy("part")).applyInArrow(_answer, "batch string, order int, part int, levels binary")
+        out = gathered.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_put_together(model.name, model.words, model.total), columns)
+    return out.withColumnRenamed("id", id_col)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
