@@ -62,7 +62,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, token_ids, n_tokens, round_trip) of the documents that all stages keep."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch.materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with scratch.within(spark) as kept:
+            docs = scratch.materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+            kept.append(docs)
+        if before is not None:  # what the stage before wrote has been read
+            scratch.drop(before)
+        before = docs
     return docs
