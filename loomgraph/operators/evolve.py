@@ -120,7 +120,8 @@ def process_diff(
         left = deleted_files(graph, gone)
         kept = settle(left if also_gone is None else left.remove_nodes(also_gone))
         removed = n_nodes - kept.nodes.count()
-        grown = settle(kept.add_nodes(encode(fresh)))
+        # Numbering reads its rows thrice.
+        grown = settle(kept.add_nodes(scratch.materialize(encode(fresh), "made")))
         changed = grown.nodes.join(kept.nodes.select("node_id"), "node_id", "left_anti").select("node_id")
         repaired = invalidate_centroids(invalidate_feature_edges(grown, changed), changed)
         if stale:
@@ -129,7 +130,7 @@ def process_diff(
         cut = n_edges - repaired.edges.count()
 
         def add(g: CodeGraph, rows: DataFrame) -> tuple[CodeGraph, int]:
-            rows = rows.join(g.edges.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")
+            rows = scratch.materialize(rows.join(g.edges.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti"), "rows")
             last = g.edges.agg(F.coalesce(F.max("edge_seq"), F.lit(-1)).alias("_last"))
             seq = number(rows, "_turn", ["edge_type", "src", "dst"]).crossJoin(F.broadcast(last)).withColumn("edge_seq", F.col("_last") + F.col("_turn"))  # one row
             missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in g.edges.schema if f.name not in ("edge_seq", *rows.columns)]

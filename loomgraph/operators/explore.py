@@ -99,7 +99,7 @@ def explore(graph: CodeGraph, starts: DataFrame, direction: str = "outgoing", fi
             found = best.select("start", "node_id", F.col("m.o.from_turn").alias("from_turn"), F.col("m.o.side").alias("side"), F.col("m.o.newest").alias("newest"), "m")
             # Only the order of nodes that are expanded, or counted against the limit, is needed.
             if most is not None or filter_.max_depth is None or depth <= filter_.max_depth:
-                found = number(found, "turn", ["start", "from_turn", "side", "newest"])
+                found = number(scratch.materialize(found, "found"), "turn", ["start", "from_turn", "side", "newest"])
             else:
                 found = found.withColumn("turn", F.lit(0).cast("bigint"))
             found = found.join(passing.withColumn("emitted", F.lit(True)), "node_id", "left")

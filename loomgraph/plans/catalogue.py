@@ -91,14 +91,26 @@ on_graph("edges_to", "SELECT dst AS node_id, edge_type, count(*) AS n, min(src)
 on_graph("edges_involving", "SELECT src AS node_id, edge_seq, dst AS other_id, edge_type, 'outgoing' AS direction FROM edges UNION ALL SELECT dst, edge_seq, src, edge_type, 'incoming' FROM edges WHERE src <> dst", lambda g: g.edges_involving())
 on_graph("edge_between", "SELECT src, dst, max(edge_seq) AS edge_seq, max_by(edge_type, edge_seq) AS edge_type, count(*) AS parallel FROM edges GROUP BY src, dst", lambda g: g.edge_between())
 on_graph("centroid_members", "SELECT dst AS node_id, src AS other_id FROM edges WHERE edge_type = 'belongs_to_feature'", lambda g: g.centroid_members().select("node_id", "other_id"))
-on_graph("ground_centroids", "SELECT dst AS node_id, '' AS path, string_agg(semantic_feature, '; ' ORDER BY edge_seq) AS semantic_feature FROM edges JOIN nodes ON src = node_id WHERE edge_type = 'belongs_to_feature' GROUP BY dst", lambda g: g.ground_centroids())
+PLACED = "SELECT *, 'd' || (node_id % 5) AS b, 'd' || (node_id % 7) AS c FROM nodes WHERE node_id >= 3000000"
+on_graph(
+    "ground_centroids",
+    f"""SELECT dst AS node_id, CASE WHEN count(*) > 1 AND count(DISTINCT b) > 1 THEN 'src' WHEN count(*) > 1 AND count(DISTINCT c) > 1 THEN 'src/' || min(b) ELSE 'src/' || min(b) || '/' || min(c) END AS path,
+string_agg(semantic_feature, '; ' ORDER BY edge_seq) AS semantic_feature FROM edges JOIN ({PLACED}) ON src = node_id WHERE edge_type = 'belongs_to_feature' GROUP BY dst""",
+    lambda g: store.CodeGraph(g.nodes.withColumn("path", F.when(F.col("node_id") >= 3000000, F.expr("concat('src/d', node_id % 5, '/d', node_id % 7, '/', node_id, '.rs')"))), g.edges).ground_centroids(),
+)
 
 
-@register("common_ancestor", f"{GRAPH} SELECT category, CASE category WHEN 'directory' THEN (SELECT r_name FROM region WHERE (SELECT count(*) FROM region) < 0) WHEN 'file' THEN '' ELSE '' END AS ancestor FROM nodes WHERE FALSE UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS category, CASE WHEN count(*) = 1 THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) ELSE split_part(path, '/', 1) || '/' || split_part(path, '/', 2) END AS ancestor FROM nodes WHERE category = 'file' GROUP BY split_part(path, '/', 1), split_part(path, '/', 2)")
+@register(
+    "common_ancestor",
+    f"""{GRAPH}, f AS (SELECT split_part(path, '/', 1) AS r, split_part(path, '/', 2) AS n FROM nodes WHERE category = 'file')
+SELECT r AS category, CASE WHEN count(DISTINCT n) > 1 THEN r ELSE r || '/' || min(n) END AS ancestor FROM f GROUP BY r
+UNION ALL SELECT '', CASE WHEN count(DISTINCT r) > 1 THEN '' WHEN count(DISTINCT n) > 1 THEN min(r) ELSE min(r) || '/' || min(n) END FROM f""",
+)
 def common_ancestor_(spark: SparkSession, d: str) -> DataFrame:
+    """Of the files of each region, and of all files."""
     from loomgraph.graph import common_ancestor
 
-    files = canonical.nodes(spark, d).where("category = 'file'").withColumn("category", F.substring_index("path", "/", 2))
+    files = graph(spark, d).nodes.where("category = 'file'").select("path", F.explode(F.array(F.substring_index("path", "/", 1), F.lit(""))).alias("category"))
     return files.groupBy("category").agg(F.collect_list("path").alias("paths")).select("category", common_ancestor(F.col("paths")).alias("ancestor"))
 
 

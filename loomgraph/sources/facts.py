@@ -87,7 +87,8 @@ def encode(files: DataFrame, root: str = "root", parser: Parser = languages.pars
     parsed = scratch.materialize(fact_rows(files, parser), "parsed")
     good = parsed.where("error IS NULL")
     nodes = scratch.materialize(node_rows(parsed, root), "numbered")
-    edges = number(link.link_all([contained(nodes), *link_passes(nodes, good)]), "edge_seq", ["phase", "turn", "src", "dst"])
+    linked = scratch.materialize(link.link_all([contained(nodes), *link_passes(nodes, good)]), "passes")  # numbering reads it thrice
+    edges = number(linked, "edge_seq", ["phase", "turn", "src", "dst"])
     graph = CodeGraph(shown(nodes), scratch.materialize(edges.select("edge_seq", "src", "dst", "edge_type", "metadata"), "linked"))
     failed = parsed.where("error IS NOT NULL").select("path", "error", F.col("error_line").alias("line"), F.col("error_column").alias("column"), "category")
     return Encoded(graph, failed, good.count(), failed.count())
