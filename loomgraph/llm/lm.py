@@ -53,6 +53,8 @@ SHARD_BYTES = 24 << 20
 #: Characters that are counted, and that are scored, at once; beside the filter less is held.
 AT_ONCE = 1 << 21
 SCORED = 1 << 20
+#: N-grams whose bits are set at once.
+SET = 1 << 18
 #: Words whose levels a worker remembers.
 REMEMBERED = 1_000_000
 RESULT = {"n_words": "bigint", "mean_log2_prob": "double", "perplexity": "double"}
@@ -158,14 +160,16 @@ def _segment(per: int):
             names, counts = _sum(*zip(*[_unpack(r["data"], np.uint32) for r in own], strict=True))
             if order == 0:
                 words, total = len(names), int(counts.sum())
-            held.append((names, _levels(counts)))
-        names, levels = (np.concatenate(x) for x in zip(*held, strict=True))
-        size = max(64, int(levels.sum()) * per)
+            held.append((names, _levels(counts).astype(np.uint8)))
+        size = max(64, sum(int(levels.sum(dtype=np.int64)) for _, levels in held) * per)
         bits = np.zeros(size, bool)
-        for level in range(1, int(levels.max()) + 1 if len(levels) else 1):
-            a, b = _start(names[levels >= level], level)
-            for i in range(PROBES):
-                bits[_seat(a, b, i, np.uint64(size))] = True
+        for names, levels in held:
+            for low in range(0, len(names), SET):
+                own, top = names[low : low + SET], levels[low : low + SET]
+                for level in range(1, int(top.max()) + 1):
+                    a, b = _start(own[top >= level], level)
+                    for i in range(PROBES):
+                        bits[_seat(a, b, i, np.uint64(size))] = True
         return pa.table({"part": pa.array([rows[0]["part"]], pa.int32()), "size": [size], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "words": [words], "total": [total]})
 
     return run
