@@ -187,12 +187,19 @@ def tidy() -> None:
         trim(0)
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int, Batch]]:
-    """Cut a column of texts into batches of about ``limit`` characters, none of them empty."""
+def spans(column: pa.Array | pa.ChunkedArray, limit: int) -> Iterator[tuple[int, int, int]]:
+    """(from, to, characters) of slices of a column of texts of about ``limit`` characters, none of them empty."""
     sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, np.int64)
     total, start = np.cumsum(sizes, dtype=np.int64), 0
     while start < len(sizes):
-        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + limit, side="right")))
-        yield start, end, Batch(column.slice(start, end - start).to_pylist())
+        before = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
+        yield start, end, int(total[end - 1] - before)
         start = end
+
+
+def chunks(column: pa.Array | pa.ChunkedArray, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int, Batch]]:
+    """Cut a column of texts into batches of about ``limit`` characters, none of them empty."""
+    for start, end, _ in spans(column, limit):
+        yield start, end, Batch(column.slice(start, end - start).to_pylist())
     tidy()

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import lm
@@ -117,3 +118,38 @@ def test_odd_rows(spark, monkeypatch, limit):
     assert lm.scores(docs).count() == len(rows)
     assert lm.scores(docs.limit(0)).count() == 0
     assert lm.scores(docs.where("text IS NULL")).count() == 1
+
+
+def test_rows_sent_to_a_part_do_not_grow_with_the_batches(monkeypatch):
+    monkeypatch.setattr(lm, "AT_ONCE", 2000)
+    batch = pa.record_batch([pa.array(corpus(400, 5))], names=["text"])
+    rows = sum(x.num_rows for x in lm._count(40, 64)(iter([batch] * 3)))
+    assert rows <= 64  # of 100 batches
+
+
+def test_counted_and_scored_together(spark, monkeypatch):
+    texts = [*corpus(150, 1), None, "", "one", "one"]
+    rows = [(i if i % 7 else None, t, 1, 2) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for part, gathered in ((lm.PART_BYTES, lm.GATHERED), (300, 3000)):
+        monkeypatch.setattr(lm, "PART_BYTES", part)
+        monkeypatch.setattr(lm, "GATHERED", gathered)
+        # As few bits as to confuse some n-grams: the filter is the same, so are its mistakes.
+        for bits in (3, lm.BITS):
+            want = sorted(map(str, lm.score(lm.train(docs, bits=bits), docs).collect()))
+            assert sorted(map(str, lm.together(docs, bits=bits).collect())) == want
+
+
+def test_order_of_names_that_leave_no_room_for_places():
+    rng = np.random.default_rng(0)
+    for low, high, n in ((0, 1 << 60, 50_000), (1 << 59, (1 << 59) + 99, 1000), (1, 2, 5), (0, 1, 0)):
+        names = np.r_[rng.integers(low, high, n, dtype=np.uint64), rng.integers(0, 3, n, dtype=np.uint64), np.uint64(low) + rng.integers(0, 3, n, dtype=np.uint64)]
+        assert (names[lm._argsort(names)] == np.sort(names)).all()
+
+
+def test_a_filter_that_was_released_is_sent_again(spark):
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(corpus(60, 3))], SCHEMA)
+    first = lm.scores(docs)
+    want = sorted(map(tuple, first.collect()))
+    assert sorted(map(tuple, lm.scores(docs.limit(30)).collect())) != want
+    assert sorted(map(tuple, first.collect())) == want
