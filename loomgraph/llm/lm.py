@@ -377,7 +377,12 @@ def shards_of(model: Model) -> Iterator[Shard]:
             data.append(np.frombuffer(bits.as_buffer(), np.uint8))
             offset[part - low], size[part - low] = at, n
             at += len(data[-1])
-        yield Shard(low, offset, size, np.concatenate(data) if data else np.zeros(0, np.uint8))
+        shard = Shard(low, offset, size, np.concatenate(data) if data else np.zeros(0, np.uint8))
+        # Else the driver has this shard's copies beside the next.
+        del own, data
+        yield shard
+        del shard
+        tidy()
 
 
 def _middle(levels: np.ndarray) -> np.ndarray:
