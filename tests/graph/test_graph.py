@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph import config, service
 from loomgraph.graph import CodeGraph, number
@@ -382,3 +383,19 @@ def test_config(tmp_path):
     (tmp_path / "sub").mkdir()
     got = config.from_env({"LOOMGRAPH_WORKSPACE": "w"}, tmp_path / "sub")
     assert got == config.Config("w", "x y", "mtime", True)
+
+
+def test_number_where_ranges_would_differ(spark):
+    """Wide rows in more ranges than one, which columns alone would be cut into otherwise."""
+    changed = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        rows = spark.range(20000).select((F.xxhash64("id") % 5000).alias("a"), F.col("id").alias("b"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+        got = sorted((r.n, r.a, r.b) for r in number(rows, "n", ["a", "b"]).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    wanted = sorted((r.a, r.b) for r in rows.select("a", "b").collect())
+    assert got == [(i, *x) for i, x in enumerate(wanted, 1)]
