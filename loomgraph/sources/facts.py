@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from loomgraph.graph import CodeGraph, number
 from loomgraph.operators import link
@@ -26,29 +28,45 @@ _FIELDS = {
 SCHEMA = "path string, language string, " + ", ".join(f"{k} array<struct<{v}>>" for k, v in _FIELDS.items()) + ", error string, error_line int, error_column int, category string"
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """The files by path in some parts for each core: a small table of paths may hold the work of many, which bytes do not tell."""
+    spark = files.sparkSession
+    return files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "path")
+
+
 def parse_files(files: DataFrame, parser: Parser = languages.parse) -> DataFrame:
-    """One row a file (path, language, content): its facts as lists, or the error that its text met."""
-    names = list(_FIELDS)
+    """One row a file (path, language, content): its facts as lists, or the error that its text met.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Texts that a batch has more than once are parsed once.
+    """
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in _parse_datatype_string(SCHEMA)])
+    found, maps = schema.names[2:], {name for name, fields in _FIELDS.items() if "metadata:" in fields}
+    shape = pa.struct([schema.field(name) for name in found])
+
+    def facts_of(language: str | None, content: str | None) -> dict:
+        try:
+            if content is None:
+                raise OSError("no content")
+            facts = parser(content, language)
+        except SyntaxError as e:
+            return {"error": str(e.msg), "error_line": e.lineno, "error_column": e.offset, "category": "syntax"} | dict.fromkeys(_FIELDS, [])
+        except OSError as e:
+            return {"error": str(e), "category": "io"} | dict.fromkeys(_FIELDS, [])
+        except Exception as e:  # a file must not end the job: what it met is reported
+            return {"error": f"{type(e).__name__}: {e}", "category": "internal"} | dict.fromkeys(_FIELDS, [])
+        pairs = lambda fact: fact | {"metadata": list((fact.get("metadata") or {}).items())}
+        return {name: [pairs(x) for x in facts.get(name, [])] if name in maps else facts.get(name, []) for name in _FIELDS}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, language, content in zip(batch["path"], batch["language"], batch["content"], strict=True):
-                try:
-                    if content is None:
-                        raise OSError("no content")
-                    facts, failed = parser(content, language), (None, None, None, None)
-                except SyntaxError as e:
-                    facts, failed = {}, (str(e.msg), e.lineno, e.offset, "syntax")
-                except OSError as e:
-                    facts, failed = {}, (str(e), None, None, "io")
-                except Exception as e:  # a file must not end the job: what it met is reported
-                    facts, failed = {}, (f"{type(e).__name__}: {e}", None, None, "internal")
-                rows.append((path, language, *[facts.get(n, []) for n in names], *failed))
-            out = pd.DataFrame(rows, columns=["path", "language", *names, "error", "error_line", "error_column", "category"])
-            yield out.astype({"error_line": "Int32", "error_column": "Int32"})
-
-    return files.select("path", "language", "content").mapInPandas(run, SCHEMA)
+            places: dict[tuple, int] = {}
+            at = [places.setdefault(text, len(places)) for text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            made = pa.array([facts_of(*text) for text in places], shape)
+            if len(places) < len(at):
+                made = made.take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made.flatten()], schema=schema)
+
+    return spread(files.select("path", "language", "content")).mapInArrow(run, SCHEMA)
 
 
 BINDINGS = "array<struct<line:int,symbol:string,source_lang:string,target_lang:string,kind:string>>"
@@ -57,7 +75,7 @@ FACTS = f"{SCHEMA}, bindings {BINDINGS}"
 
 def fact_rows(files: DataFrame, parser: Parser = languages.parse) -> DataFrame:
     """``parse_files`` with the foreign-function bindings of each file as a further list."""
-    found = ffi.detect_all(files).groupBy("path").agg(F.collect_list(F.struct(F.col("line").cast("int").alias("line"), "symbol", "source_lang", "target_lang", "kind")).alias("bindings"))
+    found = ffi.detect_all(spread(files)).groupBy("path").agg(F.collect_list(F.struct(F.col("line").cast("int").alias("line"), "symbol", "source_lang", "target_lang", "kind")).alias("bindings"))
     return parse_files(files, parser).join(found, "path", "left").withColumn("bindings", F.coalesce("bindings", F.array().cast(BINDINGS)))
 
 

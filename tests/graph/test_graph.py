@@ -399,3 +399,26 @@ def test_number_where_ranges_would_differ(spark):
             spark.conf.set(k, v)
     wanted = sorted((r.a, r.b) for r in rows.select("a", "b").collect())
     assert got == [(i, *x) for i, x in enumerate(wanted, 1)]
+
+
+def test_files_are_spread_and_equal_texts_parsed_once(spark):
+    """Of a table in one part come several, and each of them parses a text once for all its files."""
+    turns = []  # of one task
+
+    def parser(content, language):
+        if content == "bad":
+            raise SyntaxError("no")
+        turns.append(content)
+        return {"definitions": [{"name": f"{content}_{len(turns)}", "metadata": {"a": "b"}}]}
+
+    texts = {i: ("bad", "x", "y", None)[i % 4] for i in range(400)}
+    files = spark.createDataFrame([(f"p/{i}", "rust", text) for i, text in texts.items()], "path string, language string, content string").coalesce(1)
+    parsed = facts.parse_files(files, parser)
+    assert parsed.rdd.getNumPartitions() >= 4
+    rows = {int(r.path[2:]): r for r in parsed.collect()}
+    assert set(rows) == set(texts)
+    for i, text in texts.items():
+        r = rows[i]
+        assert (r.category, len(r.definitions)) == ({"bad": "syntax", None: "io"}.get(text), text in ("x", "y"))
+        assert text not in ("x", "y") or (r.definitions[0].name[0], r.definitions[0].metadata) == (text, {"a": "b"})
+    assert len({r.definitions[0].name for r in rows.values() if r.definitions}) < 200
