@@ -422,3 +422,14 @@ def test_files_are_spread_and_equal_texts_parsed_once(spark):
         assert (r.category, len(r.definitions)) == ({"bad": "syntax", None: "io"}.get(text), text in ("x", "y"))
         assert text not in ("x", "y") or (r.definitions[0].name[0], r.definitions[0].metadata) == (text, {"a": "b"})
     assert len({r.definitions[0].name for r in rows.values() if r.definitions}) < 200
+
+
+def test_a_patch_sorts_edges_once(small):
+    """Edges of both graphs are compared without a join; parallel edges of a key that loses one are put again."""
+    new = CodeGraph(small.nodes, small.edges.where("edge_seq <> 0"))
+    patch = store.changes_between(small, new)
+    assert patch._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # of nodes
+    assert sorted((r.op, r.edge.edge_seq, r.edge.src, r.edge.dst, r.edge.edge_type) for r in patch.collect()) == [("remove_edge", None, 0, 1, "calls")]
+    twice = small.edges.unionAll(small.edges.where("edge_seq = 0").selectExpr("10L AS edge_seq", "src", "dst", "edge_type", "metadata"))
+    back = store.changes_between(CodeGraph(small.nodes, twice), small)
+    assert sorted((r.op, r.edge.edge_seq or 0) for r in back.collect()) == [("add_edge", 0), ("remove_edge", 0)]
