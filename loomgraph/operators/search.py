@@ -31,16 +31,25 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
     Two sets of that similarity share a token among the rarest of either: all but as many of its tokens as could be shared
     without, so only these are joined, and frequent tokens meet where nothing rarer does. What meets is compared whole.
+    Sets whose sizes differ too much cannot reach it: those that fit no size of the other side go before that, pairs as they meet.
     """
+    bound = least - 1e-6  # a little less, as scores are rounded to 32 bits
+
+    def fitting(side: DataFrame, other: DataFrame) -> DataFrame:
+        sizes = other.agg(F.min(F.when(F.size("tokens") > 0, F.size("tokens"))).alias("_least"), F.max(F.size("tokens")).alias("_most"))  # one row
+        own = side.withColumn("_size", F.size("tokens")).crossJoin(F.broadcast(sizes))
+        return own.where((F.col("_size") >= F.col("_least") * bound) & (F.col("_size") * bound <= F.col("_most"))).drop("_least", "_most", "_size")
+
+    left, right = fitting(left, right), fitting(right, left)
     counts = left.select(F.explode("tokens").alias("token")).unionAll(right.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
 
     def rare(side: DataFrame, key: str) -> DataFrame:
         own = side.select(key, F.explode("tokens").alias("token")).join(counts, "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("sorted"))
-        # A little less than the bound, as scores are rounded to 32 bits.
-        keep = F.size("sorted") - F.ceil(F.size("sorted") * (least - 1e-6)).cast("int") + 1
-        return own.select(key, F.explode(F.slice("sorted", 1, keep)).alias("x")).select(key, F.col("x.token").alias("token"))
+        keep = F.size("sorted") - F.ceil(F.size("sorted") * bound).cast("int") + 1
+        return own.select(key, F.size("sorted").alias(f"size_{key}"), F.explode(F.slice("sorted", 1, keep)).alias("x")).select(key, f"size_{key}", F.col("x.token").alias("token"))
 
-    met = rare(left, "a").join(rare(right, "b"), "token").select("a", "b").distinct()
+    close = (F.col("size_a") >= F.col("size_b") * bound) & (F.col("size_b") >= F.col("size_a") * bound)
+    met = rare(left, "a").join(rare(right, "b"), "token").where(close).select("a", "b").distinct()
     whole = met.join(left.select("a", F.col("tokens").alias("ta")), "a").join(right.select("b", F.col("tokens").alias("tb")), "b")
     return whole.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") >= F.lit(least).cast("float"))
 

@@ -433,3 +433,11 @@ def test_a_patch_sorts_edges_once(small):
     twice = small.edges.unionAll(small.edges.where("edge_seq = 0").selectExpr("10L AS edge_seq", "src", "dst", "edge_type", "metadata"))
     back = store.changes_between(CodeGraph(small.nodes, twice), small)
     assert sorted((r.op, r.edge.edge_seq or 0) for r in back.collect()) == [("add_edge", 0), ("remove_edge", 0)]
+
+
+def test_similar_pairs_drop_sizes_that_cannot_fit(spark):
+    """Sets of 3 and of 10 just fit at 0.3; of 11 they do not, and go before any join."""
+    sets = lambda *sizes: [(n, [f"t{i}" for i in range(n)]) for n in sizes]
+    pairs = search.similar_pairs(spark.createDataFrame(sets(3, 10, 11, 500), "a bigint, tokens array<string>"), spark.createDataFrame(sets(3), "b bigint, tokens array<string>"), 0.3)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(3, 3), (10, 3)]
+    assert "_most" in pairs._jdf.queryExecution().optimizedPlan().toString()
